@@ -75,12 +75,10 @@ def scenarios(spark: SparkSession) -> DataFrame:
 
 
 def literal_array(items: list) -> Column:
-    return F.array(*[literal_array(item) if isinstance(item, list) else F.lit(item) for item in items])
+    return F.expr(_text(items))
 
 
-def pick(keys: Column, pairs: dict, default) -> Column:
-    """CASE lookup over a fixed dictionary."""
-    expr = None
-    for key, value in pairs.items():
-        expr = (F if expr is None else expr).when(keys == key, F.lit(value))
-    return expr.otherwise(F.lit(default))
+def pick(key: str, pairs: dict, default) -> Column:
+    """CASE lookup of a column in a fixed dictionary."""
+    whens = " ".join(f"WHEN {_text(k)} THEN {_text(v)}" for k, v in pairs.items())
+    return F.expr(f"CASE {key} {whens} ELSE {_text(default)} END")

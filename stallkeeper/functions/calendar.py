@@ -18,16 +18,14 @@ def days_between(df: DataFrame, first: str, last: str) -> DataFrame:
     return df.select("*", F.explode(F.sequence(F.col(first), F.col(last), F.expr("interval 1 day"))).alias("day"))
 
 
-def promo_multiplier(day: Column) -> Column:
-    """Traffic multiplier by month-day, else by weekend. 29 February is an ordinary day."""
-    month_day = F.month(day) * 100 + F.dayofmonth(day)
-    expr = F
-    for first, last, factor in V.PROMO_WINDOWS:
-        expr = expr.when(month_day.between(first, last), F.lit(factor))
-    return expr.when(F.weekday(day) >= 5, F.lit(V.WEEKEND_MULTIPLIER)).otherwise(F.lit(1.0))
+def promo_multiplier(day: str) -> Column:
+    """Traffic multiplier of a date (SQL text) by month-day, else by weekend. 29 February is an ordinary day."""
+    month_day = f"month({day}) * 100 + dayofmonth({day})"
+    whens = " ".join(f"WHEN {month_day} BETWEEN {first} AND {last} THEN {factor}D" for first, last, factor in V.PROMO_WINDOWS)
+    return F.expr(f"CASE {whens} WHEN weekday({day}) >= 5 THEN {V.WEEKEND_MULTIPLIER}D ELSE 1D END")
 
 
-def is_promotional(day: Column) -> Column:
+def is_promotional(day: str) -> Column:
     return promo_multiplier(day) > 1.0
 
 
@@ -45,14 +43,10 @@ def add_interval(ts: Column, *, days: Column = None, minutes: Column = None, sec
     )
 
 
-def epoch_seconds(ts: Column) -> Column:
-    """Whole seconds since 1970 of a wall-clock timestamp; no session zone involved."""
-    clock = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    return F.unix_date(F.to_date(ts)).cast("long") * 86400 + clock
-
-
-def chunk_of(ts: Column, seconds: int) -> Column:
-    return F.floor(epoch_seconds(ts) / F.lit(seconds))
+def chunk_of(ts: str, seconds: int) -> Column:
+    """Number of the stretch of `seconds` a wall-clock timestamp column falls into; no session zone involved."""
+    clock = f"hour({ts}) * 3600 + minute({ts}) * 60 + second({ts})"
+    return F.expr(f"floor((CAST(unix_date(to_date({ts})) AS BIGINT) * 86400 + {clock}) / {seconds})")
 
 
 def whole_days(first: Column, last: Column) -> Column:

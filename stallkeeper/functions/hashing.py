@@ -11,13 +11,18 @@ from itertools import accumulate
 
 from pyspark.sql import Column, functions as F
 
+from stallkeeper.dims import literal_array
+
 SEED = 42
 
 
 def u(stream: str, *keys: Column | str, seed: int = SEED) -> Column:
-    """Uniform in [0, 1) from the first 32 bits of an md5."""
-    parts = [F.col(k) if isinstance(k, str) else k for k in keys]
-    text = F.concat_ws("|", F.lit(f"{seed}|{stream}"), *[p.cast("string") for p in parts])
+    """Uniform in [0, 1) from the first 32 bits of an md5. Keys are SQL text (column names, literals) or columns."""
+    if all(isinstance(k, str) for k in keys):
+        parts = ", ".join(f"CAST({k} AS STRING)" for k in keys)
+        return F.expr(f"CAST(conv(substring(md5(concat_ws('|', '{seed}|{stream}', {parts})), 1, 8), 16, 10) AS DOUBLE) / 4294967296D")
+    columns = [F.expr(k) if isinstance(k, str) else k for k in keys]
+    text = F.concat_ws("|", F.lit(f"{seed}|{stream}"), *[k.cast("string") for k in columns])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
@@ -66,7 +71,7 @@ def weighted_choice(items: Sequence, weights: Sequence[float], draw: Column) ->
 
 def choice(items: Sequence, draw: Column) -> Column:
     """Uniform choice from a fixed list."""
-    return F.element_at(F.array(*[F.lit(i) for i in items]), (F.floor(draw * len(items)) + 1).cast("int"))
+    return F.element_at(literal_array(list(items)), (F.floor(draw * len(items)) + 1).cast("int"))
 
 
 def weighted_choice_by_row(items: Column, weights: Column, draw: Column) -> Column:
@@ -109,13 +114,14 @@ def gate(p, draw: Column) -> Column:
 
 def sample_indexes(k: Column, n: Column, slots: int, stream: str, *keys: Column | str) -> Column:
     """k distinct positions out of 1..n (k <= slots, k <= n) by Floyd's method: work grows with k, not with n."""
-    chosen = F.array().cast("array<bigint>")
-    for i in range(slots):
-        top = n - k + (i + 1)
-        draw = (1 + F.floor(top * u(f"{stream}{i}", *keys))).cast("long")
-        pickd = F.when(F.array_contains(chosen, draw), top.cast("long")).otherwise(draw)
-        chosen = F.when(F.lit(i) < k, F.concat(chosen, F.array(pickd))).otherwise(chosen)
-    return chosen
+    draws = F.array(*[F.struct(F.lit(i + 1).alias("i"), u(f"{stream}{i}", *keys).alias("u")) for i in range(slots)])
+
+    def step(chosen: Column, s: Column) -> Column:
+        top = n - k + s["i"]
+        draw = (1 + F.floor(top * s["u"])).cast("long")
+        return F.concat(chosen, F.array(F.when(F.array_contains(chosen, draw), top.cast("long")).otherwise(draw)))
+
+    return F.aggregate(F.slice(draws, F.lit(1), k.cast("int")), F.array().cast("array<bigint>"), step)
 
 
 def _col(value) -> Column:

@@ -1,6 +1,6 @@
 """Customer-behaviour and restock scores as column expressions.
 
-`past_price` is the customer's mean past purchase price, NULL for a customer without history.
+`past_price` is the customer's mean past purchase price, NULL for a customer without history; `segment` is a column name.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ def price_sensitivity(segment_base: Column, age_base: Column, draw: Column) -> C
 
 
 def category_preference(preferred: Column, gender_weight: Column, category: Column, tech: Column, draw: Column) -> Column:
+    """Unbounded score; the caller clips it to 0.1..2.0 (behaviour.with_preference)."""
     base = F.when(preferred, uniform(0.7, 1.0, draw)).otherwise(uniform(0.3, 0.7, draw))
     tech_weight = F.when(category == "Electronics", tech).otherwise(F.lit(1.0))
-    return clip(base * gender_weight * tech_weight, 0.1, 2.0)
+    return base * gender_weight * tech_weight
 
 
 def view_probability(
@@ -34,7 +35,7 @@ def view_probability(
 
 
 def add_to_cart_probability(
-    add_base: Column, segment: Column, sensitivity: Column, price: Column, past_price: Column, purchases: Column
+    add_base: Column, segment: str, sensitivity: Column, price: Column, past_price: Column, purchases: Column
 ) -> Column:
     known = F.exp(-sensitivity * 0.5 * (price / past_price - 1))
     expected = dims.pick(segment, V.CART_PRICE, V.CART_PRICE_DEFAULT)
@@ -45,7 +46,7 @@ def add_to_cart_probability(
 
 
 def abandonment_probability(
-    rate: Column, session_factor: Column, segment: Column, sensitivity: Column, price: Column, past_price: Column
+    rate: Column, session_factor: Column, segment: str, sensitivity: Column, price: Column, past_price: Column
 ) -> Column:
     known = 1 + (price / past_price - 1) * sensitivity * 0.2
     expected = dims.pick(segment, V.CART_PRICE, V.CART_PRICE_DEFAULT)
@@ -55,7 +56,7 @@ def abandonment_probability(
     return F.when(price.isNotNull(), clip(rate * factor * F.coalesce(session_factor, F.lit(1.0)), 0.10, 0.85))
 
 
-def price_factor(segment: Column, sensitivity: Column, price: Column, past_price: Column) -> Column:
+def price_factor(segment: str, sensitivity: Column, price: Column, past_price: Column) -> Column:
     expected = F.coalesce(past_price, dims.pick(segment, V.SALE_PRICE, V.SALE_PRICE_DEFAULT))
     ratio = price / expected
     return F.when(ratio <= 1, 1 + (1 - ratio) * (1 - sensitivity)).otherwise(F.exp(-(ratio - 1) * sensitivity))

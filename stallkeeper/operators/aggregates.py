@@ -171,7 +171,7 @@ def completeness(summary: DataFrame) -> DataFrame:
 
 def calendar_total(days: DataFrame, per_day: Column) -> DataFrame:
     """Days with their volume int(per_day x multiplier)."""
-    return days.withColumn("volume", (per_day * promo_multiplier(F.col("day"))).cast("long"))
+    return days.withColumn("volume", (per_day * promo_multiplier("day")).cast("long"))
 
 
 def dataset_totals(tables: dict[str, DataFrame]) -> DataFrame:

@@ -8,11 +8,13 @@ from stallkeeper import dims, values as V
 from stallkeeper.functions import scores
 from stallkeeper.functions.calendar import is_promotional
 from stallkeeper.functions.hashing import u, weighted_choice
+from stallkeeper.functions.scalar import clip
 
 
 def assign_segment(customers: DataFrame) -> DataFrame:
     names, weights = [s[0] for s in V.SEGMENTS], [s[1] for s in V.SEGMENTS]
-    return customers.withColumn("segment", weighted_choice(names, weights, u("segment", "customer_id")))
+    drawn = customers.withColumn("_draw", u("segment", "customer_id"))
+    return drawn.withColumn("segment", weighted_choice(names, weights, F.col("_draw"))).drop("_draw")
 
 
 def age_behaviour(customers: DataFrame, bands: DataFrame | None = None) -> DataFrame:
@@ -34,43 +36,52 @@ def enrich_customers(customers: DataFrame) -> DataFrame:
         "avg_items_per_cart", "preferred_categories",
     )
     base = age_behaviour(assign_segment(customers)).join(segments, "segment", "left")
-    score = scores.price_sensitivity(F.col("seg_sensitivity"), F.col("age_sensitivity"), u("sensitivity", "customer_id"))
-    return base.withColumn("price_sensitivity", score).drop("seg_sensitivity", "age_sensitivity", "social_influence")
+    score = scores.price_sensitivity(F.col("seg_sensitivity"), F.col("age_sensitivity"), F.col("_draw"))
+    scored = base.withColumn("_draw", u("sensitivity", "customer_id")).withColumn("price_sensitivity", score)
+    return scored.drop("seg_sensitivity", "age_sensitivity", "social_influence", "_draw")
 
 
-def gender_weight(gender: Column, category: Column) -> Column:
+def gender_weight(gender: str, category: str) -> Column:
     """Two-key lookup with default 1.0."""
-    expr = F
-    for g, weights in V.GENDER_WEIGHTS.items():
-        for c, w in zip(V.CATEGORIES, weights):
-            expr = expr.when((gender == g) & (category == c), F.lit(w))
-    return expr.otherwise(F.lit(1.0))
+    pairs = {f"{g}/{c}": w for g, weights in V.GENDER_WEIGHTS.items() for c, w in zip(V.CATEGORIES, weights)}
+    return dims.pick(f"concat({gender}, '/', {category})", pairs, 1.0)
 
 
-def preference(category: Column) -> Column:
-    """Preference score of a profile row for a category; NULL for a category that is not known."""
+def with_preference(df: DataFrame, category: str, name: str) -> DataFrame:
+    """Preference score of a profile row for a category (SQL text); NULL for a category that is not known."""
+    drawn = df.withColumn("_draw", u("preference", "customer_id", category))
+    weight, category = gender_weight("gender", category), F.expr(category)
     score = scores.category_preference(
         F.array_contains(F.col("preferred_categories"), category),
-        gender_weight(F.col("gender"), category),
+        weight,
         category,
         F.col("tech_affinity"),
-        u("preference", F.col("customer_id"), category),
+        F.col("_draw"),
     )
-    return F.when(category.isin(list(V.CATEGORIES)), score)
+    known = F.when(category.isin(list(V.CATEGORIES)), score)
+    return drawn.withColumn(name, known).withColumn(name, clip(F.col(name), 0.1, 2.0)).drop("_draw")
 
 
 def preferences(profiles: DataFrame) -> DataFrame:
     """One row per customer and category."""
     names = dims.literal_array(list(V.CATEGORIES))
-    return profiles.withColumn("category", F.explode(names)).withColumn("preference", preference(F.col("category"))).select(
-        "customer_id", "category", "preference"
-    )
+    rows = profiles.select("customer_id", "preferred_categories", "gender", "tech_affinity", F.explode(names).alias("category"))
+    return with_preference(rows, "category", "preference").select("customer_id", "category", "preference")
+
+
+def preference_array(profiles: DataFrame, name: str) -> DataFrame:
+    """Scores of all categories, in the order of the category list."""
+    df = profiles
+    for i, category in enumerate(V.CATEGORIES):
+        df = with_preference(df, f"'{category}'", f"_p{i}")
+    parts = [f"_p{i}" for i in range(len(V.CATEGORIES))]
+    return df.withColumn(name, F.array(*parts)).drop(*parts)
 
 
 def preference_map(profiles: DataFrame) -> DataFrame:
     keys = dims.literal_array(list(V.CATEGORIES))
-    scored = F.array(*[preference(F.lit(c)) for c in V.CATEGORIES])
-    return profiles.withColumn("category_preferences", F.map_from_arrays(keys, scored))
+    scored = preference_array(profiles, "_scores")
+    return scored.withColumn("category_preferences", F.map_from_arrays(keys, F.col("_scores"))).drop("_scores")
 
 
 def lookup(score_map: Column, key: Column, default: float) -> Column:
@@ -98,7 +109,7 @@ def category_purchases(sales: DataFrame, products: DataFrame) -> DataFrame:
 
 def score_views(
     views: DataFrame, profiles: DataFrame, products: DataFrame, sales: DataFrame | None = None, cutoff: str | None = None,
-    promo_day: Column | None = None,
+    promo_day: str = "to_date(timestamp)",
 ) -> DataFrame:
     """Customer views with profile, history as of the cutoff and all behaviour scores.
 
@@ -106,9 +117,9 @@ def score_views(
     """
     spark = views.sparkSession
     kinds = [s[0] for s in V.SESSION_TYPES]
-    session_type = weighted_choice(kinds, [s[1] for s in V.SESSION_TYPES], u("session_type", "customer_id", "session_no"))
+    session_type = weighted_choice(kinds, [s[1] for s in V.SESSION_TYPES], F.col("_draw"))
     base = (
-        views.withColumn("session_type", session_type)
+        views.withColumn("_draw", u("session_type", "customer_id", "session_no")).withColumn("session_type", session_type).drop("_draw")
         .join(dims.session_types(spark).select("session_type", "add_base", "abandon_factor"), "session_type", "left")
         .join(products.select("sku", "category"), "sku", "left")
         .fillna({"category": "Unknown"})
@@ -122,10 +133,10 @@ def score_views(
         base = base.join(by_customer, "customer_id", "left").join(by_category, ["customer_id", "category"], "left")
         base = base.fillna({"purchases": 0, "category_purchases": 0})
     price, sens, past = F.col("price_viewed").cast("double"), F.col("price_sensitivity"), F.col("past_price")
-    segment, n = F.col("segment"), F.col("purchases")
-    promotional = is_promotional(F.to_date("timestamp") if promo_day is None else promo_day)
-    return base.withColumns({
-        "view_probability": scores.view_probability(preference(F.col("category")), price, sens, past, F.col("category_purchases")),
+    segment, n = "segment", F.col("purchases")
+    promotional = is_promotional(promo_day)
+    return with_preference(base, "category", "preference").withColumns({
+        "view_probability": scores.view_probability(F.col("preference"), price, sens, past, F.col("category_purchases")),
         "add_probability": scores.add_to_cart_probability(F.col("add_base"), segment, sens, price, past, n),
         "abandon_probability": scores.abandonment_probability(F.col("cart_abandonment_rate"), F.col("abandon_factor"), segment, sens, price, past),
         "price_factor": scores.price_factor(segment, sens, price, past),

@@ -22,22 +22,22 @@ def customers(keys: DataFrame, key: str) -> DataFrame:
         k.alias("customer_id"),
         F.concat(F.lit("Customer "), k.cast("string")).alias("name"),
         F.concat(F.lit("customer"), k.cast("string"), F.lit("@example.com")).alias("email"),
-        F.concat(F.lit("City "), int_inclusive(1, 500, u("city", k)).cast("string")).alias("city"),
-        int_inclusive(18, 65, u("age", k)).cast("int").alias("age"),
-        choice(V.GENDERS, u("gender", k)).alias("gender"),
+        F.concat(F.lit("City "), int_inclusive(1, 500, u("city", key)).cast("string")).alias("city"),
+        int_inclusive(18, 65, u("age", key)).cast("int").alias("age"),
+        choice(V.GENDERS, u("gender", key)).alias("gender"),
     )
 
 
 def products(keys: DataFrame, key: str) -> DataFrame:
     k = F.col(key)
-    spot = (F.floor(u("category", k) * len(V.CATEGORIES)) + 1).cast("int")
+    spot = (F.floor(u("category", key) * len(V.CATEGORIES)) + 1).cast("int")
     subs = F.element_at(dims.literal_array(list(V.CATEGORIES.values())), spot)
     return keys.select(
         format_key("SKU", 6, k).alias("sku"),
         k.alias("product_id"),
         F.element_at(dims.literal_array(list(V.CATEGORIES)), spot).alias("category"),
-        F.element_at(subs, (F.floor(u("subcategory", k) * F.size(subs)) + 1).cast("int")).alias("subcategory"),
-        uniform(100.0, 100000.0, u("base_price", k)).cast(MONEY).alias("base_price"),
+        F.element_at(subs, (F.floor(u("subcategory", key) * F.size(subs)) + 1).cast("int")).alias("subcategory"),
+        uniform(100.0, 100000.0, u("base_price", key)).cast(MONEY).alias("base_price"),
     )
 
 
@@ -71,9 +71,10 @@ def add_merchant_attributes(offers: DataFrame) -> DataFrame:
 
 def fan_out_offers(products: DataFrame, merchant_count: Column, most: int = 4) -> DataFrame:
     """Pair each product with 1..most distinct merchants numbered from 1, without listing the merchants per product."""
-    k = int_inclusive(1, F.least(F.lit(most), merchant_count), u("fan_out", "sku"))
-    picked = sample_indexes(k, merchant_count, most, "merchant", "sku")
-    return products.withColumn("_m", F.explode(picked)).withColumn("merchant_id", format_key("MER", 4, F.col("_m"))).drop("_m")
+    counted = products.withColumn("_n", merchant_count)
+    ranged = counted.withColumn("_k", int_inclusive(1, F.least(F.lit(most), F.col("_n")), u("fan_out", "sku")))
+    picked = ranged.withColumn("_m", F.explode(sample_indexes(F.col("_k"), F.col("_n"), most, "merchant", "sku")))
+    return picked.withColumn("merchant_id", format_key("MER", 4, F.col("_m"))).drop("_m", "_n", "_k")
 
 
 def offers(products: DataFrame, merchant_count: Column, as_of: str) -> DataFrame:
@@ -103,7 +104,7 @@ def initial_stock_events(offers: DataFrame, start: str) -> DataFrame:
 
 def weighted_date(df: DataFrame, days: DataFrame, draw: Column, bins: int = 4096) -> DataFrame:
     """Add a day drawn by its traffic multiplier. Days are cut into bins of [0, 1), so the range lookup is an equi-join."""
-    weight = promo_multiplier(F.col("day")).cast("decimal(9,3)")
+    weight = promo_multiplier("day").cast("decimal(9,3)")
     upto = W.orderBy("day").rowsBetween(W.unboundedPreceding, 0)
     total = days.agg(F.sum(weight)).scalar().cast("double")
     shares = days.withColumn("_hi", F.sum(weight).over(upto).cast("double") / total)
@@ -136,7 +137,7 @@ def views(days: DataFrame, products: DataFrame, profiles: DataFrame, offers: Dat
     from 0, `stock` one row per offer. Views come before any sale, so the score uses no purchase history.
     """
     spark = days.sparkSession
-    vid = F.col("http_request_id")
+    vid = "http_request_id"
     n_products, n_customers = products.agg(F.count("*")).scalar(), profiles.agg(F.count("*")).scalar()
     base = candidate_views(days).select(
         "http_request_id",
@@ -152,8 +153,9 @@ def views(days: DataFrame, products: DataFrame, profiles: DataFrame, offers: Dat
     )
     people = profiles.select("customer_index", "customer_id", "gender", "tech_affinity", "price_sensitivity", "preferred_categories")
     joined = base.join(shelf, "product_index").join(people, "customer_index", "left")
+    joined = behaviour.with_preference(joined, "category", "_preference")
     chance = scores.view_probability(
-        behaviour.preference(F.col("category")), F.coalesce(F.col("avg_price"), F.lit(1000.0)), F.col("price_sensitivity"),
+        F.col("_preference"), F.coalesce(F.col("avg_price"), F.lit(1000.0)), F.col("price_sensitivity"),
         F.lit(None).cast("double"), F.lit(0),
     )
     kept = joined.filter(F.col("customer_index").isNull() | (u("view_gate", vid) <= chance))
@@ -170,7 +172,7 @@ def views(days: DataFrame, products: DataFrame, profiles: DataFrame, offers: Dat
 
 def flat_views(days: DataFrame, products: DataFrame, customer_count: Column, offers: DataFrame) -> DataFrame:
     """The simple form: no behaviour gate, stock flag by the category rate alone, price shown even when out of stock."""
-    vid = F.col("http_request_id")
+    vid = "http_request_id"
     n_products = products.agg(F.count("*")).scalar()
     base = candidate_views(days).select(
         "http_request_id",
@@ -200,10 +202,11 @@ def instock_events(views: DataFrame) -> DataFrame:
 
 def cart_events(scored: DataFrame) -> DataFrame:
     """Scored views with a price that pass the gate add to a cart, which is then abandoned or ready to purchase."""
-    vid = F.col("http_request_id")
-    added = scored.filter(gate(F.col("add_probability"), u("cart_add", vid)))
-    quantity = scores.cart_quantity(F.col("session_type"), F.col("avg_items_per_cart"), u("cart_quantity", vid))
-    abandoned = gate(F.col("abandon_probability"), u("cart_abandon", vid))
+    vid = "http_request_id"
+    added = scored.filter(gate(F.col("add_probability"), u("cart_add", vid))).withColumns(
+        {"_quantity": u("cart_quantity", vid), "_abandoned": gate(F.col("abandon_probability"), u("cart_abandon", vid))})
+    quantity = scores.cart_quantity(F.col("session_type"), F.col("avg_items_per_cart"), F.col("_quantity"))
+    abandoned = F.col("_abandoned")
     at = add_interval(F.col("timestamp"), seconds=int_inclusive(10, 300, u("cart_delay", vid)))
     minutes = F.when(abandoned, int_inclusive(1, 60, u("cart_minutes", vid))).otherwise(int_inclusive(1, 30, u("cart_minutes", vid)))
     later = F.struct(
@@ -212,7 +215,7 @@ def cart_events(scored: DataFrame) -> DataFrame:
     )
     first = F.struct(F.col("_at").alias("timestamp"), F.lit("add_to_cart").alias("event_type"))
     prepared = added.select(
-        vid.alias("cart_id"), "customer_id", "sku", quantity.alias("quantity"), F.col("price_viewed").alias("price"), "session_no",
+        F.col(vid).alias("cart_id"), "customer_id", "sku", quantity.alias("quantity"), F.col("price_viewed").alias("price"), "session_no",
         at.alias("_at"), minutes.alias("_minutes"), abandoned.alias("_abandoned"),
     )
     return prepared.select("cart_id", "customer_id", "sku", "quantity", "price", "session_no", F.inline(F.array(first, later)))
@@ -220,9 +223,10 @@ def cart_events(scored: DataFrame) -> DataFrame:
 
 def candidate_sales(scored: DataFrame) -> DataFrame:
     """Views that convert, with quantity 1..3 and a fulfilment status. A view without price never converts."""
-    vid = F.col("http_request_id")
-    status = weighted_choice([s for s, _ in V.FULFILMENT], [w for _, w in V.FULFILMENT], u("sale_status", vid))
-    return scored.filter(gate(F.col("conversion_probability"), u("sale_gate", vid))).select(
+    vid = "http_request_id"
+    status = weighted_choice([s for s, _ in V.FULFILMENT], [w for _, w in V.FULFILMENT], F.col("_draw"))
+    passed = scored.filter(gate(F.col("conversion_probability"), u("sale_gate", vid))).withColumn("_draw", u("sale_status", vid))
+    return passed.select(
         "http_request_id", "customer_id", "sku",
         int_inclusive(1, 3, u("sale_quantity", vid)).cast("int").alias("quantity"),
         F.col("price_viewed").alias("unit_price"), F.col("timestamp").alias("order_timestamp"), status.alias("fulfilment_status"),
@@ -233,14 +237,14 @@ def sales(candidates: DataFrame, stocked_offers: DataFrame) -> DataFrame:
     """Candidates allocated to the first merchant with enough stock; contiguous order ids over the filled ones."""
     order = ["order_timestamp", "http_request_id"]
     filled = inventory.greedy_allocate(candidates, stocked_offers, order).filter("merchant_id IS NOT NULL")
-    chunk = windows.chunk_of(F.col("order_timestamp"), windows.DAY)
+    chunk = windows.chunk_of("order_timestamp", windows.DAY)
     return windows.sequence_ids(filled, "order_id", chunk, order)
 
 
 def flat_sales(views: DataFrame, offers: DataFrame) -> DataFrame:
     """The simple form: 2 % of customer views, 1.8 times that in sale periods, a random merchant, no stock check."""
-    vid = F.col("http_request_id")
-    chance = F.lit(0.02) * F.when(is_promotional(F.to_date("timestamp")), 1.8).otherwise(1.0)
+    vid = "http_request_id"
+    chance = F.lit(0.02) * F.when(is_promotional("to_date(timestamp)"), 1.8).otherwise(1.0)
     bought = views.dropna(subset=["customer_id"]).filter(u("flat_gate", vid) < chance)
     counts = offers.groupBy("sku").agg(F.count("*").alias("_n"))
     numbered = windows.number_in_key(offers.select("sku", "merchant_id"), ["sku"], "_position", "merchant_id")
@@ -255,27 +259,26 @@ def flat_sales(views: DataFrame, offers: DataFrame) -> DataFrame:
 def ratings(sales: DataFrame, key: str = "order_id") -> DataFrame:
     """40 % of sales get 1..5 stars 1..30 days later; rating_id is the order id."""
     k = F.col(key)
-    rated = sales.filter(gate(0.4, u("rating_gate", k)))
+    rated = sales.filter(gate(0.4, u("rating_gate", key)))
     return rated.select(
-        k.alias("rating_id"), "customer_id", "sku", int_inclusive(1, 5, u("rating", k)).cast("int").alias("rating"),
+        k.alias("rating_id"), "customer_id", "sku", int_inclusive(1, 5, u("rating", key)).cast("int").alias("rating"),
         F.concat(F.lit("Review of "), F.col("sku"), F.lit(" for order "), k.cast("string")).alias("review"),
-        add_interval(F.col("order_timestamp").cast("timestamp_ntz"), days=int_inclusive(1, 30, u("rating_delay", k))).alias("rating_timestamp"),
+        add_interval(F.col("order_timestamp").cast("timestamp_ntz"), days=int_inclusive(1, 30, u("rating_delay", key))).alias("rating_timestamp"),
     )
 
 
 def sessions(starts: DataFrame, profiles: DataFrame) -> DataFrame:
     """Type, duration, pages and 1-3 categories by preference for sessions (customer_id, session_no, start_time)."""
-    keys = [F.col("customer_id"), F.col("session_no")]
+    keys = ["customer_id", "session_no"]
     kinds, weights = [s[0] for s in V.SESSION_TYPES], [s[1] for s in V.SESSION_TYPES]
     names = dims.literal_array(list(V.CATEGORIES))
-    prefs = F.array(*[behaviour.preference(F.lit(c)) for c in V.CATEGORIES])
-    typed = starts.withColumn("session_type", weighted_choice(kinds, weights, u("session_type", *keys)))
-    joined = typed.join(dims.session_types(starts.sparkSession), "session_type", "left").join(
-        profiles.select("customer_id", "gender", "tech_affinity", "preferred_categories"), "customer_id")
+    typed = starts.withColumn("_draw", u("session_type", *keys)).withColumn("session_type", weighted_choice(kinds, weights, F.col("_draw")))
+    people = behaviour.preference_array(profiles, "_scores").select("customer_id", "_scores")
+    joined = typed.join(dims.session_types(starts.sparkSession), "session_type", "left").join(people, "customer_id")
     minutes = int_inclusive(F.col("minutes_from"), F.col("minutes_to"), u("session_minutes", *keys))
     pages = int_inclusive(F.col("pages_from"), F.col("pages_to"), u("session_pages", *keys))
     k = int_inclusive(1, 3, u("session_categories", *keys))
     return joined.select(
         "customer_id", "session_no", "session_type", "start_time", add_interval(F.col("start_time"), minutes=minutes).alias("end_time"),
-        pages.alias("pages_viewed"), weighted_sample(names, prefs, k, "session_category", *keys).alias("categories_browsed"),
+        pages.alias("pages_viewed"), weighted_sample(names, F.col("_scores"), k, "session_category", *keys).alias("categories_browsed"),
     )

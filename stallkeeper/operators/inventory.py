@@ -42,7 +42,7 @@ def greedy_allocate(requests: DataFrame, offers: DataFrame, order: list[str], ch
     columns = requests.columns
     # At a hot sku requests of one quantity are numbered chunk by chunk.
     numbered = windows.running(
-        requests, ["sku", "quantity"], chunk_of(F.col(order[0]), chunk_seconds), order, {"_rank": F.lit(1).cast("long")}
+        requests, ["sku", "quantity"], chunk_of(order[0], chunk_seconds), order, {"_rank": F.lit(1).cast("long")}
     )
     supply = offers.groupBy("sku").agg(F.sum("stock").alias("_total"), F.max("stock").alias("_most"))
     can = (F.col("quantity") <= F.col("_most")) & (F.col("_rank") * F.col("quantity") <= F.col("_total"))
@@ -95,7 +95,7 @@ def fifo_allocate(requests: DataFrame, offers: DataFrame, order: list[str], chun
     ones, a request may be filled partly, and no merchant is chosen."""
     pool = offers.groupBy("sku").agg(F.sum("stock").alias("_total"))
     asked = windows.running(
-        requests, ["sku"], chunk_of(F.col(order[0]), chunk_seconds), order, {"demand": F.col("quantity").cast("long")}
+        requests, ["sku"], chunk_of(order[0], chunk_seconds), order, {"demand": F.col("quantity").cast("long")}
     )
     joined = asked.join(pool, "sku", "left").fillna({"_total": 0})
     rest = F.col("_total") - (F.col("demand") - F.col("quantity"))
@@ -119,7 +119,7 @@ def plan_restocks(stock: DataFrame, velocity: DataFrame, merchants: DataFrame, d
         stock.filter("stock <= 50").join(velocity.select(*PAIR, "velocity"), PAIR, "left")
         .join(merchants.select("merchant_id", "reliability"), "merchant_id", "left")
     )
-    draw = lambda stream: u(stream, "merchant_id", "sku", F.lit(day))
+    draw = lambda stream: u(stream, "merchant_id", "sku", f"'{day}'")
     ordered = joined.filter(scores.restock_gate(F.col("stock"), F.col("velocity"), F.col("reliability"), draw("restock_gate")))
     today = F.lit(day).cast("date")
     return ordered.select(
@@ -141,7 +141,7 @@ def deliver_due(pending: DataFrame, stock: DataFrame, today: Column) -> tuple[Da
 
 def damage_events(stock: DataFrame, day: str, rate: float = 0.002) -> DataFrame:
     """Damage of stocked pairs on one day, at most the stock at hand. Draws depend on pair and day."""
-    draw = lambda stream: u(stream, "merchant_id", "sku", F.lit(day))
+    draw = lambda stream: u(stream, "merchant_id", "sku", f"'{day}'")
     hit = stock.filter(F.col("stock") > 0).filter(gate(rate, draw("damage_gate")))
     return hit.select(
         F.lit(day).cast("timestamp_ntz").alias("timestamp"), *PAIR, F.lit("damage").alias("event_type"),

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stallkeeper import dims, values as V
 from stallkeeper.functions.scalar import contains_at, keyword_match
 from stallkeeper.operators import aggregates as A, relational as R
+from stallkeeper.session import stored
 
 Tables = dict[str, DataFrame]
 c = F.col
@@ -268,6 +269,10 @@ def quality_scores(found: DataFrame) -> DataFrame:
 
 def first_issues(found: DataFrame, n: int = 20) -> DataFrame:
     """First n issues in rule order and how many more there are."""
+    return _first(stored(found, "issues"), n)
+
+
+def _first(found: DataFrame, n: int = 20) -> DataFrame:
     order = ["rule_id", "table_name", "issue"]
     rest = found.agg(F.greatest(F.lit(0).cast("long"), F.count("*") - n)).scalar()
     return R.head(found, order, n).select("rule_id", "issue_text").withColumn("more", rest)
@@ -290,8 +295,7 @@ def validation_run(tables: Tables) -> DataFrame:
 
 def report_lines(tables: Tables) -> DataFrame:
     """The run as ordered text lines: status, totals, metrics, row counts, first issues."""
-    found = issues(rules(tables))
-    spark = found.sparkSession
+    found = stored(issues(rules(tables)), "issues")
     scores = quality_scores(found)
     percent = lambda name: F.format_string(f"  {name}: %.1f%%", c(name) * 100)
     head = scores.select(F.inline(F.array(*[
@@ -306,7 +310,7 @@ def report_lines(tables: Tables) -> DataFrame:
         F.lit(10).alias("section"), F.lit(0).cast("long").alias("position"),
         F.format_string("  %s: %d rows, %d columns, %d null values", "table_name", "row_count", "column_count", "null_values").alias("line"),
     )
-    first = first_issues(found)
+    first = _first(found)
     listed = first.select(F.lit(20).alias("section"), F.lit(0).cast("long").alias("position"), F.concat(c("rule_id"), F.lit(" "), c("issue_text")).alias("line"))
     rest = first.agg(F.max("more").alias("m")).filter("m > 0").select(
         F.lit(30).alias("section"), F.lit(0).cast("long").alias("position"), F.format_string("  ... and %d more issues", "m").alias("line"))

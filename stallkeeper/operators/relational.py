@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stallkeeper import dims
-from stallkeeper.functions.calendar import epoch_seconds
+from stallkeeper.functions.calendar import chunk_of
 from stallkeeper.functions.hashing import choice, gate, u
 from stallkeeper import values as V
 
@@ -66,11 +66,10 @@ def views_near_sales(sales: DataFrame, views: DataFrame, seconds: int = 3600) ->
     the bucket after only its first.
     """
     keys = ["customer_id", "sku", "_bucket"]
-    bucket = lambda ts: F.floor(epoch_seconds(F.col(ts)) / F.lit(seconds))
     out_ts = F.when(~F.col("instock"), F.col("timestamp"))
     spans = (
         views.filter("customer_id IS NOT NULL")
-        .withColumn("_bucket", bucket("timestamp"))
+        .withColumn("_bucket", chunk_of("timestamp", seconds))
         .groupBy(*keys)
         .agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"), F.min(out_ts).alias("out_lo"), F.max(out_ts).alias("out_hi"))
     )
@@ -89,7 +88,7 @@ def views_near_sales(sales: DataFrame, views: DataFrame, seconds: int = 3600) ->
         after = F.col(f"{prefix}lo_after") - t < limit
         return F.col(f"{prefix}hi_here").isNotNull() | F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
 
-    joined = sales.withColumn("_bucket", bucket("order_timestamp")).join(around, keys, "left")
+    joined = sales.withColumn("_bucket", chunk_of("order_timestamp", seconds)).join(around, keys, "left")
     return joined.select(*sales.columns, near("").alias("has_view"), near("out_").alias("has_out_of_stock_view"))
 
 

@@ -36,7 +36,7 @@ def running(
 def running_balance(movements: DataFrame, chunk_seconds: int = 7 * DAY) -> DataFrame:
     """Signed quantities accumulated to new_balance by (merchant, sku)."""
     order = ["timestamp", "order_id", "line_no", "unit_price", "quantity"]
-    chunk = chunk_of(F.col("timestamp"), chunk_seconds)
+    chunk = chunk_of("timestamp", chunk_seconds)
     return running(movements, ["merchant_id", "sku"], chunk, order, {"new_balance": F.col("quantity").cast("long")})
 
 
@@ -49,7 +49,7 @@ def latest_balance(ledger: DataFrame) -> DataFrame:
 def purchase_history(sales: DataFrame, order: list[str], ts: str = "order_timestamp", chunk_seconds: int = DAY) -> DataFrame:
     """Purchases and mean unit price before each sale of the customer; the mean is NULL for the first."""
     sums = {"prior_purchases": F.lit(1).cast("long"), "prior_spend": F.col("unit_price")}
-    done = running(sales, ["customer_id"], chunk_of(F.col(ts), chunk_seconds), order, sums, include_current=False)
+    done = running(sales, ["customer_id"], chunk_of(ts, chunk_seconds), order, sums, include_current=False)
     mean = F.when(F.col("prior_purchases") > 0, F.col("prior_spend").cast("double") / F.col("prior_purchases"))
     return done.withColumn("prior_avg_price", mean).drop("prior_spend")
 
@@ -57,7 +57,7 @@ def purchase_history(sales: DataFrame, order: list[str], ts: str = "order_timest
 def affinity_growth(sales: DataFrame, base: Column, order: list[str], ts: str = "order_timestamp") -> DataFrame:
     """Category affinity times 1.1 per earlier purchase of the customer in that category."""
     counted = running(
-        sales, ["customer_id", "category"], chunk_of(F.col(ts), DAY), order, {"earlier": F.lit(1).cast("long")}, include_current=False
+        sales, ["customer_id", "category"], chunk_of(ts, DAY), order, {"earlier": F.lit(1).cast("long")}, include_current=False
     )
     return counted.withColumn("affinity", base * F.pow(F.lit(1.1), F.col("earlier")))
 
@@ -70,7 +70,7 @@ def sequence_ids(df: DataFrame, name: str, chunk: Column, order: list[str], firs
 
 def number_in_key(df: DataFrame, keys: list[str], name: str, order: str, slots: int = 64) -> DataFrame:
     """1-based position of each row in its key by (hash slot, order): an arbitrary but fixed order, split into slots."""
-    slot = F.pmod(F.conv(F.substring(F.md5(F.col(order).cast("string")), 1, 4), 16, 10).cast("long"), F.lit(slots))
+    slot = F.expr(f"pmod(CAST(conv(substring(md5(CAST({order} AS STRING)), 1, 4), 16, 10) AS BIGINT), {slots})")
     return running(df, keys, slot, [order], {name: F.lit(1).cast("long")})
 
 
@@ -80,7 +80,7 @@ def sessionize(
 ) -> DataFrame:
     """Add session_no (1-based per key). A gap shorter than gap_seconds continues a session; an equal gap starts one."""
     gap = F.expr(f"interval {gap_seconds} seconds")
-    rows = events.withColumn("_chunk", chunk_of(F.col(ts), chunk_seconds))
+    rows = events.withColumn("_chunk", chunk_of(ts, chunk_seconds))
     ends = rows.groupBy(key, "_chunk").agg(F.max(ts).alias("_end"))
     by_chunk = W.partitionBy(key).orderBy("_chunk")
     before = ends.select(key, "_chunk", F.lag("_end").over(by_chunk).alias("_before"))

@@ -101,7 +101,7 @@ def fn20(m):
 
 @query("fn21_promo_multiplier", f"SELECT o_orderkey, {D.promo('CAST(o_orderdate AS DATE)')} AS multiplier FROM orders")
 def fn21(m):
-    return m.table("orders").select("o_orderkey", C.promo_multiplier(F.to_date("o_orderdate")).alias("multiplier"))
+    return m.table("orders").select("o_orderkey", C.promo_multiplier("to_date(o_orderdate)").alias("multiplier"))
 
 
 @query("fn22_at_second_of_day", f"SELECT o_orderkey, CAST(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_seconds({D.randint(0, 86399, D.u('second', 'o_orderkey'))}) AS VARCHAR) AS ts FROM orders")

@@ -106,7 +106,7 @@ def pr12(m):
 
 @query("pr13_is_promotional", f"SELECT o_orderkey, {D.promo('CAST(o_orderdate AS DATE)')} > 1.0 AS promotional FROM orders")
 def pr13(m):
-    return m.table("orders").select("o_orderkey", is_promotional(F.to_date("o_orderdate")).alias("promotional"))
+    return m.table("orders").select("o_orderkey", is_promotional("to_date(o_orderdate)").alias("promotional"))
 
 
 @query("pr14_add_merchant_attributes", f"""

@@ -6,6 +6,7 @@ from stallkeeper import values as V
 from stallkeeper.operators import aggregates as A, quality as Q
 from stallkeeper.plans import duck as D
 from stallkeeper.plans.base import query
+from stallkeeper.session import stored
 from stallkeeper.sources import damaged
 
 
@@ -175,15 +176,20 @@ SCORES = """SELECT greatest(0, 1 - count(*) FILTER (lower(issue_text) LIKE '%ref
 FOUND = {**EXTRA, "found": ISSUES}
 
 
+def stored_tables(m):
+    """The full runs read each table many times, so the tables are written once first."""
+    return {name: stored(df, name) for name, df in damaged.tables(m).items()}
+
+
 @query("ag19_quality_scores", SCORES, FOUND)
 def ag19(m):
-    return Q.quality_scores(Q.issues(Q.rules(damaged.tables(m))))
+    return Q.quality_scores(Q.issues(Q.rules(stored_tables(m))))
 
 
 @query("tk02_first_issues", """SELECT rule_id, issue_text, greatest(0, (SELECT count(*) FROM found) - 20) AS more
     FROM (SELECT * FROM found ORDER BY rule_id, table_name, issue LIMIT 20)""", FOUND)
 def tk02(m):
-    return Q.first_issues(Q.issues(Q.rules(damaged.tables(m))))
+    return Q.first_issues(Q.issues(Q.rules(stored_tables(m))))
 
 
 COLUMNS = {
@@ -207,9 +213,9 @@ CELLS = " UNION ALL ".join(
                    (SELECT count(*) FROM d_sales)::DOUBLE / (SELECT count(*) FROM d_views)]) AS value
     FROM ({SCORES})""", FOUND)
 def dq47(m):
-    return Q.validation_run(damaged.tables(m))
+    return Q.validation_run(stored_tables(m))
 
 
 @query("dq48_report")
 def dq48(m):
-    return Q.report_lines(damaged.tables(m))
+    return Q.report_lines(stored_tables(m))

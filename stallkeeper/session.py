@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "16g") -> SparkSession:
@@ -34,5 +33,11 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = os.path.join(root, "stallkeeper", f"{name}-{uuid.uuid4().hex}") if "://" not in root else f"{root}/stallkeeper/{name}-{uuid.uuid4().hex}"
-    return path
+    return f"{root.rstrip('/')}/stallkeeper/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several steps read to the shared folder and read it back; survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,13 +7,20 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
+# Whole microseconds and blanks at either end of a text survive the round trip.
+CSV = {
+    "header": True, "escape": '"', "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV with header and a declared schema; large files are split by Spark."""
-    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    return spark.read.schema(schema).options(**CSV).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    df.write.mode(mode).options(**CSV).csv(path)
 
 
 def append(df: DataFrame, path: str) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stallkeeper import values as V
+from stallkeeper import schemas, values as V
 from stallkeeper.dims import literal_array
 from stallkeeper.functions.scalar import format_key
 from stallkeeper.operators import behaviour, windows
@@ -17,7 +17,7 @@ class Model:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(schemas.TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
 
     # -- retail
 
@@ -88,9 +88,10 @@ class Model:
             F.col("ts").alias("order_timestamp"),
         )
 
-    def line_sales(self) -> DataFrame:
+    def line_sales(self, lineitem: DataFrame | None = None) -> DataFrame:
+        lineitem = self.table("lineitem") if lineitem is None else lineitem
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        joined = self.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        joined = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         status = F.when(F.col("l_returnflag") == "R", "Returned").when(F.col("l_returnflag") == "A", "Delivered")
         return joined.select(
             F.col("l_orderkey").alias("order_id"),
@@ -106,8 +107,7 @@ class Model:
 
     def movements(self) -> DataFrame:
         """Signed stock movements without balances: initial stock and every line sold on an offered pair."""
-        offers = self.offers()
-        initial = offers.select(
+        initial = self.offers().select(
             F.lit("1995-01-01").cast("timestamp_ntz").alias("timestamp"),
             "merchant_id", "sku",
             F.lit("initial_stock").alias("event_type"),
@@ -117,9 +117,14 @@ class Model:
             F.lit(0).alias("line_no"),
             F.lit(0).cast(MONEY).alias("unit_price"),
         )
+        return initial.unionByName(self.sold_movements())
+
+    def sold_movements(self, lineitem: DataFrame | None = None) -> DataFrame:
+        """Movements of the order lines (batch or stream) on offered pairs."""
+        offered = self.offers().select("merchant_id", "sku")
         status = F.col("fulfilment_status")
         kind = F.when(status == "Returned", "restock").when(status == "Delivered", "sale").otherwise("damage")
-        sold = self.line_sales().join(offers.select("merchant_id", "sku"), ["merchant_id", "sku"], "left_semi").select(
+        return self.line_sales(lineitem).join(offered, ["merchant_id", "sku"], "left_semi").select(
             F.col("order_timestamp").cast("timestamp_ntz").alias("timestamp"),
             "merchant_id", "sku",
             kind.alias("event_type"),
@@ -127,7 +132,6 @@ class Model:
             F.concat(F.lit("Order "), F.col("order_id")).alias("reason"),
             "order_id", "line_no", "unit_price",
         )
-        return initial.unionByName(sold)
 
     def ledger(self) -> DataFrame:
         return windows.running_balance(self.movements())
@@ -135,10 +139,11 @@ class Model:
     def stock(self) -> DataFrame:
         return self.movements().groupBy("merchant_id", "sku").agg(F.sum("quantity").alias("stock"))
 
-    def cart_events(self) -> DataFrame:
+    def cart_events(self, events: DataFrame | None = None) -> DataFrame:
+        events = self.table("events") if events is None else events
         kind = F.col("event_type")
         named = F.when(kind == "click", "add_to_cart").when(kind == "error", "cart_abandoned").when(kind == "purchase", "ready_to_purchase")
-        return self.table("events").filter("event_type <> 'view'").select(
+        return events.filter("event_type <> 'view'").select(
             (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("cart_id"),
             F.col("user_id").alias("customer_id"),
             self._event_sku().alias("sku"),
