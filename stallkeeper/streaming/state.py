@@ -1,7 +1,8 @@
 """Keyed state: live stock balances and cart reservations with a timeout.
 
-Both keep one small value per key in RocksDB. Rows of a key within one micro-batch are put in order first; the size of a
-micro-batch is bounded at the source.
+Both keep one small value per key. Rows of a key within one micro-batch are put in order first; the size of a micro-batch
+is bounded at the source. Balances travel with the rows in Arrow batches; carts need timers, so they use the state API
+that has them (RocksDB).
 """
 
 from __future__ import annotations
@@ -9,41 +10,34 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stallkeeper.streaming.run import ROCKSDB
 
-BALANCE_SCHEMA = "merchant_id string, sku string, order_id bigint, line_no int, quantity int, accepted boolean, balance bigint, alert_level string"
 STATUS_SCHEMA = "cart_id bigint, status string, at timestamp"
-ORDER = ["timestamp", "order_id", "line_no", "unit_price", "quantity"]
 
 
-class Balance(StatefulProcessor):
-    """Stock of one (merchant, sku): an outflow larger than the balance is rejected."""
+def _move(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Stock of one (merchant, sku): an outflow larger than the balance is rejected.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.balance = handle.getValueState("balance", "units bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(ORDER, kind="stable")
-        units = self.balance.get()[0] if self.balance.exists() else int(batch["initial"].iloc[0])
-        balances, accepted = [], []
-        for quantity in batch["quantity"].tolist():
-            fits = units + quantity >= 0
-            units += quantity if fits else 0
-            balances.append(units)
-            accepted.append(fits)
-        self.balance.update((units,))
-        result = batch[["order_id", "line_no", "quantity"]].copy()
-        result.insert(0, "merchant_id", key[0])
-        result.insert(1, "sku", key[1])
-        result["accepted"], result["balance"] = accepted, balances
-        result["alert_level"] = ["critical" if b == 0 else "warning" if b <= 10 else None for b in balances]
-        yield result
-
-    def close(self) -> None:
-        pass
+    A move arrives as one text whose order is the order of the moves and whose last field is the signed quantity.
+    """
+    moves, opening = [], None
+    for part in rows:
+        moves += part["move"].tolist()
+        opening = part["initial"].iat[0]
+    units = state.get[0] if state.exists else int(opening)
+    accepted, balances = [], []
+    for move in sorted(moves):
+        quantity = int(move.rpartition("|")[2])
+        fits = units + quantity >= 0
+        units += quantity if fits else 0
+        accepted.append(fits)
+        balances.append(units)
+    state.update((units,))
+    yield pd.DataFrame({"merchant_id": key[0], "sku": key[1], "move": sorted(moves), "accepted": accepted, "balance": balances})
 
 
 class CartStatus(StatefulProcessor):
@@ -97,9 +91,14 @@ def _statuses(cart, found: list[tuple]) -> pd.DataFrame:
 
 def live_balance(movements: DataFrame) -> DataFrame:
     """Accepted or rejected movements with the balance after each; `initial` is the opening stock of the pair."""
-    movements.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return movements.groupBy("merchant_id", "sku").transformWithStateInPandas(
-        statefulProcessor=Balance(), outputStructType=BALANCE_SCHEMA, outputMode="Append", timeMode="None")
+    move = F.expr("format_string('%s|%020d|%06d|%016.4f|%d', date_format(timestamp, 'yyyyMMddHHmmssSSSSSS'), order_id, line_no, unit_price, quantity)")
+    moved = movements.select("merchant_id", "sku", "initial", move.alias("move")).groupBy("merchant_id", "sku").applyInPandasWithState(
+        _move, "merchant_id string, sku string, move string, accepted boolean, balance bigint", "units bigint", "append", GroupStateTimeout.NoTimeout)
+    field = F.split("move", r"\|")
+    level = F.when(F.col("balance") == 0, "critical").when(F.col("balance") <= 10, "warning")
+    return moved.select(
+        "merchant_id", "sku", field[1].cast("bigint").alias("order_id"), field[2].cast("int").alias("line_no"),
+        field[4].cast("int").alias("quantity"), "accepted", "balance", level.alias("alert_level"))
 
 
 def cart_status(cart_events: DataFrame) -> DataFrame:
