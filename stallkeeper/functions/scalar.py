@@ -10,6 +10,11 @@ def clip(x: Column, lo, hi) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
 
 
+def bound(x: Column, lo, hi) -> Column:
+    """clip for an expression that is never NULL: it appears once, so a costly one is computed once."""
+    return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+
+
 def format_key(prefix: str, digits: int, number: Column) -> Column:
     return F.format_string(f"{prefix}%0{digits}d", number.cast("long"))
 

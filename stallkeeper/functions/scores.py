@@ -9,28 +9,26 @@ from pyspark.sql import Column, functions as F
 
 from stallkeeper import dims, values as V
 from stallkeeper.functions.hashing import gate, int_inclusive, poisson, uniform
-from stallkeeper.functions.scalar import clip
+from stallkeeper.functions.scalar import bound
 
 
 def price_sensitivity(segment_base: Column, age_base: Column, draw: Column) -> Column:
-    return clip(segment_base * age_base * uniform(0.8, 1.2, draw), 0.1, 1.0)
+    return bound(segment_base * age_base * uniform(0.8, 1.2, draw), 0.1, 1.0)
 
 
 def category_preference(preferred: Column, gender_weight: Column, category: Column, tech: Column, draw: Column) -> Column:
-    """Unbounded score; the caller clips it to 0.1..2.0 (behaviour.with_preference)."""
     base = F.when(preferred, uniform(0.7, 1.0, draw)).otherwise(uniform(0.3, 0.7, draw))
     tech_weight = F.when(category == "Electronics", tech).otherwise(F.lit(1.0))
-    return base * gender_weight * tech_weight
+    return bound(base * gender_weight * tech_weight, 0.1, 2.0)
 
 
 def view_probability(
     preference: Column, price: Column, sensitivity: Column, past_price: Column, category_purchases: Column
 ) -> Column:
     """0.5 for a visitor without profile (NULL sensitivity)."""
-    ratio = price / past_price
-    penalty = F.when(ratio > 1, F.pow(ratio, sensitivity)).otherwise(F.lit(1.0))
+    penalty = F.pow(F.greatest(price / past_price, F.lit(1.0)), sensitivity)
     base = F.least(F.lit(0.8), F.coalesce(preference, F.lit(0.5)) * 0.4)
-    score = clip(base / penalty * (1 + category_purchases * 0.1), 0.01, 0.9)
+    score = bound(base / penalty * (1 + category_purchases * 0.1), 0.01, 0.9)
     return F.when(sensitivity.isNull(), F.lit(0.5)).otherwise(score)
 
 
@@ -42,7 +40,7 @@ def add_to_cart_probability(
     new = F.exp(-F.greatest(F.lit(0.0), sensitivity * 0.3 * (price / expected - 1)))
     factor = F.when(past_price.isNotNull(), known).otherwise(new)
     base = F.coalesce(add_base, F.lit(V.ADD_BASE_DEFAULT))
-    return F.when(price.isNotNull(), clip(base * factor * (1 + purchases * 0.05), 0.01, 0.4))
+    return F.when(price.isNotNull(), bound(base * factor * (1 + purchases * 0.05), 0.01, 0.4))
 
 
 def abandonment_probability(
@@ -53,7 +51,7 @@ def abandonment_probability(
     excess = (price / expected - 1) * sensitivity * 0.3
     new = 1 + F.greatest(F.lit(0.0), F.least(excess, F.lit(2.0)))
     factor = F.when(past_price.isNotNull(), known).otherwise(new)
-    return F.when(price.isNotNull(), clip(rate * factor * F.coalesce(session_factor, F.lit(1.0)), 0.10, 0.85))
+    return F.when(price.isNotNull(), bound(rate * factor * F.coalesce(session_factor, F.lit(1.0)), 0.10, 0.85))
 
 
 def price_factor(segment: str, sensitivity: Column, price: Column, past_price: Column) -> Column:
@@ -65,8 +63,8 @@ def price_factor(segment: str, sensitivity: Column, price: Column, past_price: C
 def conversion_probability(base: Column, factor: Column, promotional: Column, purchases: Column) -> Column:
     """0.02 for a visitor without profile (NULL base). A NULL price gives NULL, which no gate passes."""
     boost = F.when(promotional, F.lit(1.8)).otherwise(F.lit(1.0))
-    score = clip(base * factor * boost * (1 + purchases * 0.05), 0.001, 0.15)
-    return F.when(base.isNull(), F.lit(0.02)).otherwise(score)
+    score = bound(base * factor * boost * (1 + purchases * 0.05), 0.001, 0.15)
+    return F.when(base.isNull(), F.lit(0.02)).when(factor.isNotNull(), score)
 
 
 def restock_probability(stock: Column, velocity: Column, reliability: Column) -> Column:

@@ -8,7 +8,6 @@ from stallkeeper import dims, values as V
 from stallkeeper.functions import scores
 from stallkeeper.functions.calendar import is_promotional
 from stallkeeper.functions.hashing import u, weighted_choice
-from stallkeeper.functions.scalar import clip
 
 
 def assign_segment(customers: DataFrame) -> DataFrame:
@@ -58,8 +57,7 @@ def with_preference(df: DataFrame, category: str, name: str) -> DataFrame:
         F.col("tech_affinity"),
         F.col("_draw"),
     )
-    known = F.when(category.isin(list(V.CATEGORIES)), score)
-    return drawn.withColumn(name, known).withColumn(name, clip(F.col(name), 0.1, 2.0)).drop("_draw")
+    return drawn.withColumn(name, F.when(category.isin(list(V.CATEGORIES)), score)).drop("_draw")
 
 
 def preferences(profiles: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from stallkeeper.operators import behaviour, inventory, windows
 from stallkeeper.operators.relational import instock_reason
 
 MONEY = "decimal(12,2)"
-BLOCK = 10_000
+ROWS_PER_TASK = 2_000_000
 
 
 def customers(keys: DataFrame, key: str) -> DataFrame:
@@ -116,18 +116,22 @@ def weighted_date(df: DataFrame, days: DataFrame, draw: Column, bins: int = 4096
 
 
 def candidate_views(days: DataFrame) -> DataFrame:
-    """One row per planned view: (day, n_views) to contiguous http_request_id, in blocks so that no row holds a whole day."""
+    """One row per planned view: (day, n_views) to contiguous http_request_id from 1.
+
+    Ids come from a range, so Spark knows how many there are and never takes them for a small side to broadcast; exploding
+    a calendar would hide that. The day is found by an equi-join on blocks of ids with at most 100,000 blocks.
+    """
+    spark = days.sparkSession
+    total = days.agg(F.coalesce(F.sum("n_views"), F.lit(0))).first()[0]
+    block = max(10_000, total // 100_000)
     before = F.sum("n_views").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1))
-    blocks = (
-        days.withColumn("_first", F.coalesce(before, F.lit(0)))
-        .filter("n_views > 0")
-        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_views") - 1) / BLOCK))))
-        .repartition("day", "_block")
-    )
-    start = F.col("_block") * BLOCK + 1
-    inside = F.explode(F.sequence(start, F.least(start + (BLOCK - 1), F.col("n_views"))))
-    rows = blocks.select("day", "_first", inside.alias("_n"))
-    return rows.select("day", (F.col("_first") + F.col("_n")).alias("http_request_id"))
+    spans = days.withColumn("_first", F.coalesce(before, F.lit(0)) + 1).filter("n_views > 0").withColumn("_last", F.col("_first") + F.col("n_views") - 1)
+    number = lambda c: F.expr(f"CAST(({c} - 1) DIV {block} AS BIGINT)")
+    blocks = spans.select("day", "_first", "_last", F.explode(F.sequence(number("_first"), number("_last"))).alias("_block"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // ROWS_PER_TASK)
+    ids = spark.range(1, total + 1, 1, parts).select(F.col("id").alias("http_request_id"), number("id").alias("_block"))
+    found = ids.join(blocks, "_block").filter("http_request_id BETWEEN _first AND _last")
+    return found.select("day", "http_request_id")
 
 
 def views(days: DataFrame, products: DataFrame, profiles: DataFrame, offers: DataFrame, stock: DataFrame) -> DataFrame:
