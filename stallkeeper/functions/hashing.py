@@ -104,7 +104,7 @@ def weighted_sample(items: Column, weights: Column, k: Column, stream: str, *key
     keyed = F.zip_with(
         items, weights, lambda item, w: F.struct((-F.ln(1 - u(stream, *keys, item)) / w).alias("rank"), item.alias("item"))
     )
-    return F.transform(F.slice(F.array_sort(keyed), 1, k.cast("int")), lambda s: s["item"])
+    return F.transform(F.slice(F.sort_array(keyed), 1, k.cast("int")), lambda s: s["item"])
 
 
 def gate(p, draw: Column) -> Column:

@@ -16,7 +16,9 @@ def bound(x: Column, lo, hi) -> Column:
 
 
 def format_key(prefix: str, digits: int, number: Column) -> Column:
-    return F.format_string(f"{prefix}%0{digits}d", number.cast("long"))
+    """prefix and the number with at least `digits` digits; longer numbers are kept whole."""
+    text = number.cast("long").cast("string")
+    return F.concat(F.lit(prefix), F.lpad(text, F.greatest(F.lit(digits), F.length(text)), F.lit("0")))
 
 
 def contains_at(text: Column) -> Column:

@@ -57,7 +57,7 @@ def funnel(views: DataFrame, cart_events: DataFrame, sales: DataFrame, keys: lis
 def stock_movement(movements: DataFrame) -> DataFrame:
     """Net quantity and a map event type -> count per (merchant, sku); counted by type first, so maps stay tiny."""
     by_type = movements.groupBy("merchant_id", "sku", "event_type").agg(F.sum("quantity").alias("q"), F.count("*").alias("n"))
-    entries = F.array_sort(F.collect_list(F.struct("event_type", "n")))
+    entries = F.sort_array(F.collect_list(F.struct("event_type", "n")))
     return by_type.groupBy("merchant_id", "sku").agg(F.sum("q").alias("quantity"), F.map_from_entries(entries).alias("event_types"))
 
 

@@ -21,5 +21,5 @@ def batch_apply(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame],
 def grouped_counts(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """value -> count per group, counted before any list is formed."""
     counted = df.groupBy(*keys, column).agg(F.count("*").alias("n"))
-    pairs: Column = F.array_sort(F.collect_list(F.struct(column, "n")))
+    pairs: Column = F.sort_array(F.collect_list(F.struct(column, "n")))
     return counted.groupBy(*keys).agg(F.map_from_entries(pairs).alias(f"{column}_counts"))

@@ -3,7 +3,8 @@
 A plain window puts all rows of a key into one task. Here the rows of a key are cut into chunks that follow the order
 (a stretch of time, by default a day): running values are computed inside each (key, chunk), and the totals of earlier
 chunks, pre-aggregated before their own shuffle, are added by an equi-join. The results are exact. Chunks come from the
-data alone, so a retried task sees the same rows. Keys must not be NULL.
+data alone, so a retried task sees the same rows. Keys must not be NULL. The input is read twice: store a costly one first
+(session.stored).
 """
 
 from __future__ import annotations
@@ -105,7 +106,7 @@ def session_table(sessioned: DataFrame, products: DataFrame, key: str = "custome
         F.min(ts).alias("start_time"),
         F.max(ts).alias("end_time"),
         F.count("*").alias("pages_viewed"),
-        F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories_browsed"),
+        F.array_join(F.sort_array(F.collect_set("category")), ",").alias("categories_browsed"),
     )
 
 

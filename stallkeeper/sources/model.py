@@ -8,6 +8,7 @@ from stallkeeper import schemas, values as V
 from stallkeeper.dims import literal_array
 from stallkeeper.functions.scalar import format_key
 from stallkeeper.operators import behaviour, windows
+from stallkeeper.session import stored
 
 MONEY = "decimal(12,2)"
 
@@ -62,12 +63,16 @@ class Model:
             F.to_date("first_ship").alias("listing_date"),
         )
 
+    def _events(self, events: DataFrame | None = None) -> DataFrame:
+        events = self.table("events") if events is None else events
+        return events.withColumn("_k", F.get_json_object("props", "$.k").cast("long"))
+
     def _event_sku(self) -> Column:
-        return format_key("SKU", 6, F.get_json_object("props", "$.k").cast("long"))
+        return format_key("SKU", 6, F.col("_k"))
 
     def views(self) -> DataFrame:
         in_stock = F.col("event_type") != "error"
-        return self.table("events").select(
+        return self._events().select(
             F.col("event_id").alias("http_request_id"),
             F.col("ts").alias("timestamp"),
             self._event_sku().alias("sku"),
@@ -78,7 +83,7 @@ class Model:
 
     def event_sales(self) -> DataFrame:
         event = F.col("event_id")
-        return self.table("events").filter("event_type = 'purchase'").select(
+        return self._events().filter("event_type = 'purchase'").select(
             event.alias("order_id"),
             F.col("user_id").alias("customer_id"),
             format_key("MER", 4, event % 100).alias("merchant_id"),
@@ -134,13 +139,14 @@ class Model:
         )
 
     def ledger(self) -> DataFrame:
-        return windows.running_balance(self.movements())
+        """Movements with balances. Running totals read their input twice, so the derived movements are stored first."""
+        return windows.running_balance(stored(self.movements(), "movements"))
 
     def stock(self) -> DataFrame:
         return self.movements().groupBy("merchant_id", "sku").agg(F.sum("quantity").alias("stock"))
 
     def cart_events(self, events: DataFrame | None = None) -> DataFrame:
-        events = self.table("events") if events is None else events
+        events = self._events(events)
         kind = F.col("event_type")
         named = F.when(kind == "click", "add_to_cart").when(kind == "error", "cart_abandoned").when(kind == "purchase", "ready_to_purchase")
         return events.filter("event_type <> 'view'").select(
