@@ -30,11 +30,11 @@ REQUIRED = {
     "DQ33": ("cart_events", ["cart_id", "customer_id", "sku", "event_type", "timestamp"]),
 }
 DUPLICATES = {
-    "DQ03": ("customers", ["customer_id"], "Duplicate customer IDs found"),
-    "DQ09": ("products", ["sku"], "Duplicate SKUs found"),
-    "DQ17": ("offers", ["merchant_id", "sku"], "Duplicate merchant-SKU combinations found"),
-    "DQ19": ("views", ["http_request_id"], "Duplicate HTTP request IDs found"),
-    "DQ24": ("sales", ["order_id"], "Duplicate order IDs found"),
+    "DQ03": ("customers", ["customer_id"], V.ISSUES["DQ03"]),
+    "DQ09": ("products", ["sku"], V.ISSUES["DQ09"]),
+    "DQ17": ("offers", ["merchant_id", "sku"], V.ISSUES["DQ17"]),
+    "DQ19": ("views", ["http_request_id"], V.ISSUES["DQ19"]),
+    "DQ24": ("sales", ["order_id"], V.ISSUES["DQ24"]),
 }
 EXAMPLE = {
     "customers": ["customer_id"], "products": ["sku"], "offers": ["merchant_id", "sku"], "views": ["http_request_id"],
@@ -84,30 +84,30 @@ def _signed(kind: str, positive: bool) -> Callable[[dict[str, str]], Column]:
 
 
 ROW_RULES = [
-    RowRule("DQ04", "customers", "Customer IDs should start from 1", ["customer_id"], lambda t: c("customer_id") < 1),
-    RowRule("DQ05", "customers", "Invalid age ranges found", ["age"], lambda t: ~c("age").between(18, 100)),
-    RowRule("DQ06", "customers", "Invalid gender values", ["gender"], _outside("gender", V.GENDERS)),
-    RowRule("DQ07", "customers", "Invalid email formats found", ["email"], lambda t: ~contains_at(c("email"))),
-    RowRule("DQ10", "products", "Invalid categories", ["category"], _outside("category", list(V.CATEGORIES))),
-    RowRule("DQ11", "products", "Zero or negative prices found", ["base_price"], lambda t: c("base_price") <= 0),
-    RowRule("DQ12", "products", "Extremely high prices found (>1M)", ["base_price"], lambda t: c("base_price") > 1_000_000),
-    RowRule("DQ13", "products", "Invalid subcategory for category", ["category", "subcategory"], _known_subcategory),
-    RowRule("DQ15", "offers", "Negative inventory found", ["inventory"], lambda t: c("inventory") < 0),
-    RowRule("DQ16", "offers", "Zero or negative offer prices found", ["offer_price"], lambda t: c("offer_price") <= 0),
-    RowRule("DQ20", "views", "Invalid timestamp formats found", ["timestamp"], _unparsable),
-    RowRule("DQ21", "views", "Invalid instock values (should be boolean)", ["instock"], _not_boolean),
-    RowRule("DQ22", "views", "In-stock items without prices", ["instock", "price_viewed"], lambda t: in_stock(t) & c("price_viewed").isNull()),
-    RowRule("DQ25", "sales", "Zero or negative quantities found", ["quantity"], lambda t: c("quantity") <= 0),
-    RowRule("DQ26", "sales", "Extremely high quantities found (>100)", ["quantity"], lambda t: c("quantity") > 100),
-    RowRule("DQ27", "sales", "Zero or negative unit prices found", ["unit_price"], lambda t: c("unit_price") <= 0),
-    RowRule("DQ28", "sales", "Invalid fulfillment statuses", ["fulfilment_status"], _outside("fulfilment_status", [s for s, _ in V.FULFILMENT])),
-    RowRule("DQ30", "inventory_events", "Invalid inventory event types", ["event_type"], _outside("event_type", V.INVENTORY_EVENTS)),
-    *[RowRule("DQ31", "inventory_events", f"Negative quantities found for {k} events", ["event_type", "quantity"], _signed(k, True))
+    RowRule("DQ04", "customers", V.ISSUES["DQ04"], ["customer_id"], lambda t: c("customer_id") < 1),
+    RowRule("DQ05", "customers", V.ISSUES["DQ05"], ["age"], lambda t: ~c("age").between(18, 100)),
+    RowRule("DQ06", "customers", V.ISSUES["DQ06"], ["gender"], _outside("gender", V.GENDERS)),
+    RowRule("DQ07", "customers", V.ISSUES["DQ07"], ["email"], lambda t: ~contains_at(c("email"))),
+    RowRule("DQ10", "products", V.ISSUES["DQ10"], ["category"], _outside("category", list(V.CATEGORIES))),
+    RowRule("DQ11", "products", V.ISSUES["DQ11"], ["base_price"], lambda t: c("base_price") <= 0),
+    RowRule("DQ12", "products", V.ISSUES["DQ12"], ["base_price"], lambda t: c("base_price") > 1_000_000),
+    RowRule("DQ13", "products", V.ISSUES["DQ13"], ["category", "subcategory"], _known_subcategory),
+    RowRule("DQ15", "offers", V.ISSUES["DQ15"], ["inventory"], lambda t: c("inventory") < 0),
+    RowRule("DQ16", "offers", V.ISSUES["DQ16"], ["offer_price"], lambda t: c("offer_price") <= 0),
+    RowRule("DQ20", "views", V.ISSUES["DQ20"], ["timestamp"], _unparsable),
+    RowRule("DQ21", "views", V.ISSUES["DQ21"], ["instock"], _not_boolean),
+    RowRule("DQ22", "views", V.ISSUES["DQ22"], ["instock", "price_viewed"], lambda t: in_stock(t) & c("price_viewed").isNull()),
+    RowRule("DQ25", "sales", V.ISSUES["DQ25"], ["quantity"], lambda t: c("quantity") <= 0),
+    RowRule("DQ26", "sales", V.ISSUES["DQ26"], ["quantity"], lambda t: c("quantity") > 100),
+    RowRule("DQ27", "sales", V.ISSUES["DQ27"], ["unit_price"], lambda t: c("unit_price") <= 0),
+    RowRule("DQ28", "sales", V.ISSUES["DQ28"], ["fulfilment_status"], _outside("fulfilment_status", [s for s, _ in V.FULFILMENT])),
+    RowRule("DQ30", "inventory_events", V.ISSUES["DQ30"], ["event_type"], _outside("event_type", V.INVENTORY_EVENTS)),
+    *[RowRule("DQ31", "inventory_events", V.ISSUES["DQ31"].format(k), ["event_type", "quantity"], _signed(k, True))
       for k in ("initial_stock", "restock", "adjustment")],
-    *[RowRule("DQ32", "inventory_events", f"Positive quantities found for {k} events", ["event_type", "quantity"], _signed(k, False))
+    *[RowRule("DQ32", "inventory_events", V.ISSUES["DQ32"].format(k), ["event_type", "quantity"], _signed(k, False))
       for k in ("sale", "damage")],
-    RowRule("DQ34", "cart_events", "Invalid cart event types", ["event_type"], _outside("event_type", V.CART_EVENTS)),
-    RowRule("DQ40", "inventory_events", "Negative inventory balances found", ["new_balance"], lambda t: c("new_balance") < 0),
+    RowRule("DQ34", "cart_events", V.ISSUES["DQ34"], ["event_type"], _outside("event_type", V.CART_EVENTS)),
+    RowRule("DQ40", "inventory_events", V.ISSUES["DQ40"], ["new_balance"], lambda t: c("new_balance") < 0),
 ]
 
 
@@ -152,7 +152,7 @@ def required_columns(rule_id: str, tables: Tables) -> DataFrame:
     table, needed = REQUIRED[rule_id]
     missing = len([n for n in needed if n not in tables[table].columns])
     counted = tables[table].agg(F.count("*").alias("n"))
-    return _result(counted, rule_id, table, "Missing required columns", F.when(c("n") > 0, F.lit(missing)).otherwise(0))
+    return _result(counted, rule_id, table, V.ISSUES["missing"], F.when(c("n") > 0, F.lit(missing)).otherwise(0))
 
 
 def duplicate_keys(rule_id: str, tables: Tables) -> DataFrame:
@@ -188,45 +188,45 @@ def _price_sample(tables: Tables, n: int | None) -> DataFrame:
 
 def _dq39(tables: Tables) -> DataFrame:
     missed = _price_sample(tables, 100).agg(F.count("*").alias("n"))
-    return _result(missed, "DQ39", "sales", "Price mismatches between views and sales", (c("n") > 5).cast("int"), measure=c("n"))
+    return _result(missed, "DQ39", "sales", V.ISSUES["DQ39"], (c("n") > 5).cast("int"), measure=c("n"))
 
 
 def _dq42(tables: Tables) -> DataFrame:
     rate = A.ratio_of_counts(tables["sales"], tables["views"].filter("customer_id IS NOT NULL"), "r")
-    return _range_rule(rate, "DQ42", "sales", "Conversion rate out of range", c("r"), *V.CONVERSION_RANGE)
+    return _range_rule(rate, "DQ42", "sales", V.ISSUES["DQ42"], c("r"), *V.CONVERSION_RANGE)
 
 
 def _dq38(tables: Tables) -> DataFrame:
     sold = R.views_near_sales(tables["sales"], _views(tables).filter("instock IS NOT NULL AND timestamp IS NOT NULL"))
-    return _count(sold.filter("has_out_of_stock_view"), "DQ38", "sales", "Sale of out-of-stock item", c("order_id"))
+    return _count(sold.filter("has_out_of_stock_view"), "DQ38", "sales", V.ISSUES["DQ38"], c("order_id"))
 
 
 def _dq41(tables: Tables) -> DataFrame:
     events = tables["inventory_events"]
     has_sales = events.filter("event_type = 'sale'").agg(F.count("*") > 0).scalar()
     wrong = R.reconcile(tables["sales"], events).filter(has_sales)
-    return _count(wrong, "DQ41", "inventory_events", "Sales-inventory depletion mismatches", _key("inventory_events"))
+    return _count(wrong, "DQ41", "inventory_events", V.ISSUES["DQ41"], _key("inventory_events"))
 
 
 CROSS: dict[str, tuple[list[str], Callable[[Tables], DataFrame]]] = {
     "DQ35": (["views", "customers"], lambda t: _count(
-        R.orphan_keys(t["views"], t["customers"], ["customer_id"]), "DQ35", "views", "Invalid customer references in views", c("customer_id"))),
+        R.orphan_keys(t["views"], t["customers"], ["customer_id"]), "DQ35", "views", V.ISSUES["DQ35"], c("customer_id"))),
     "DQ36": (["views", "products"], lambda t: _count(
-        R.orphan_keys(t["views"], t["products"], ["sku"]), "DQ36", "views", "Invalid SKU references in views", c("sku"))),
+        R.orphan_keys(t["views"], t["products"], ["sku"]), "DQ36", "views", V.ISSUES["DQ36"], c("sku"))),
     "DQ37": (["sales", "offers"], lambda t: _count(
-        R.orphan_keys(t["sales"], t["offers"], ["merchant_id", "sku"]), "DQ37", "sales", "Invalid merchant-SKU references in sales", _key("offers"))),
+        R.orphan_keys(t["sales"], t["offers"], ["merchant_id", "sku"]), "DQ37", "sales", V.ISSUES["DQ37"], _key("offers"))),
     "DQ38": (["sales", "views"], _dq38),
     "DQ39": (["sales", "views"], _dq39),
     "DQ41": (["sales", "inventory_events"], _dq41),
     "DQ42": (["sales", "views"], _dq42),
     "DQ43": (["cart_events"], lambda t: _range_rule(
-        A.abandonment_rate(t["cart_events"]), "DQ43", "cart_events", "Cart abandonment rate out of range", c("abandonment_rate"), *V.ABANDONMENT_RANGE)),
+        A.abandonment_rate(t["cart_events"]), "DQ43", "cart_events", V.ISSUES["DQ43"], c("abandonment_rate"), *V.ABANDONMENT_RANGE)),
     "DQ44": (["customers"], lambda t: _range_rule(
-        t["customers"].agg(A.exact_mean(c("age")).alias("m")), "DQ44", "customers", "Unusual age distribution mean", c("m"), 25, 50)),
+        t["customers"].agg(A.exact_mean(c("age")).alias("m")), "DQ44", "customers", V.ISSUES["DQ44"], c("m"), 25, 50)),
     "DQ45": (["products"], lambda t: _range_rule(
-        A.exact_median(t["products"], "base_price"), "DQ45", "products", "Unusual price distribution median", c("median"), 1000, 80000)),
+        A.exact_median(t["products"], "base_price"), "DQ45", "products", V.ISSUES["DQ45"], c("median"), 1000, 80000)),
     "DQ46": (["views"], lambda t: _range_rule(
-        A.daily_cv(_views(t).dropna(subset=["timestamp"]), "timestamp"), "DQ46", "views", "High variability in daily views", c("cv"), None, 2.0)),
+        A.daily_cv(_views(t).dropna(subset=["timestamp"]), "timestamp"), "DQ46", "views", V.ISSUES["DQ46"], c("cv"), None, 2.0)),
 }
 
 
