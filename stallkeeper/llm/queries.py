@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkeeper.llm import decontaminate, langid, licenses, near_dup, packing, quality, token_files, topk
+from stallkeeper.llm import decontaminate, langid, licenses, lm, near_dup, packing, quality, token_files, topk
 from stallkeeper.session import scratch, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality.fit(rows.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
     scored = rows.select("doc_id", "held_out", rules.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op8_lm_score")
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without a doc_id counts as held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(_remainder(10) == 0, F.lit(True)).alias("held_out"))
+    return lm.score(docs, "held_out")
