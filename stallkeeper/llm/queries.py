@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkeeper.llm import decontaminate, langid, licenses, lm, near_dup, packing, quality, token_files, topk
+from stallkeeper.llm import decontaminate, html_text, langid, licenses, lm, near_dup, packing, quality, token_files, topk
 from stallkeeper.session import scratch, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,9 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row without a doc_id counts as held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(_remainder(10) == 0, F.lit(True)).alias("held_out"))
     return lm.score(docs, "held_out")
+
+
+@query("op10_html_text")
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
