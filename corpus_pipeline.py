@@ -21,8 +21,8 @@ MIN_QUALITY, MIN_LANGUAGE = 0.5, 0.3
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Scores every text by rules learned from all labelled documents; scores below MIN_QUALITY go."""
     rules = quality.fit(quality.with_stats(docs.select("doc_id", "text"), keep_text=False), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.with_stats(docs.withColumns({f"_{c}": F.col(c) for c in docs.columns}).select([f"_{c}" for c in docs.columns] + ["text"]), keep_text=False)
-    return scored.where(rules.score() >= MIN_QUALITY).select(*(F.col(f"_{c}").alias(c) for c in docs.columns))
+    scored = quality.with_stats(docs.select(F.struct(*docs.columns).alias("row"), "text"), keep_text=False)
+    return scored.where(rules.score() >= MIN_QUALITY).select("row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

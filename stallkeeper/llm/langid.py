@@ -18,61 +18,72 @@ from pyspark.sql import functions as F
 from stallkeeper.llm import words as W
 from stallkeeper.session import stored
 
-GRAM, HASHES, ROWS, MASK_BITS = 4, 3, 1 << 20, 63
+GRAM, HASHES, ROWS = 4, 3, 1 << 20
 #: An n-gram belongs to a language if its share there is at least this part of its largest share in any.
 OWN = 0.25
 
 _LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
+#: Languages in each value of an eight-bit mask.
+_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
+_PLAIN = np.array([b + 32 if 65 <= b <= 90 else b if _LETTER[b] else 32 for b in range(256)], np.uint8)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte n-grams of lower-cased texts, with all between words as one space, as integers; and their offsets by text."""
+    """Byte n-grams of texts, with all between words as one space, as integers; and their offsets by text.
+
+    Capitals of ASCII and of the Latin-1 letters count as small letters; those of other scripts stand for themselves.
+    """
     letter = _LETTER[data]
-    after = np.zeros(len(data), bool)
-    after[1:] = letter[:-1]
-    after[offsets[:-1][offsets[:-1] < len(data)]] = False
-    keep = letter | after
-    plain = np.where(letter, data, 32)[keep].astype(np.uint64)
-    ends = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
+    keep[firsts] = letter[firsts]
+    ends = np.searchsorted(np.flatnonzero(keep), offsets)
+    plain = _PLAIN[data[keep]]
     if len(plain) < GRAM:
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-    out = np.zeros(len(plain) - GRAM + 1, np.uint64)
-    for k in range(GRAM):
-        out |= plain[k : k + len(out)] << np.uint64(8 * k)
+        return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
+    plain[1:] += ((plain[:-1] == 0xC3) & (plain[1:] >= 0x80) & (plain[1:] <= 0x9E)).astype(np.uint8) * np.uint8(32)
+    wide = plain.astype(np.uint32)
+    out = wide[: len(wide) - GRAM + 1].copy()
+    for k in range(1, GRAM):
+        out |= wide[k : k + len(out)] << np.uint32(8 * k)
     whole = np.ones(len(plain), bool)
     for k in range(1, GRAM):
-        whole[np.maximum(ends[1:] - k, 0)[ends[1:] - k >= ends[:-1]]] = False
-    whole = whole[: len(out)]
-    return out[whole], np.concatenate([[0], np.cumsum(whole)])[np.minimum(ends, len(out))]
+        whole[(ends[1:] - k)[ends[1:] - k >= ends[:-1]]] = False
+    number = np.maximum(np.diff(ends) - GRAM + 1, 0)
+    return out[whole[: len(out)]], np.concatenate([[0], np.cumsum(number)])
 
 
-def places(values: np.ndarray) -> list[np.ndarray]:
-    """The filter rows of each n-gram."""
-    h = W.mix(values)
+def places(values: np.ndarray) -> Iterator[np.ndarray]:
+    """The filter rows of each n-gram, one array for each hash."""
+    h = W.mix(values.astype(np.uint64))
     step = (h >> np.uint64(32)) | np.uint64(1)
-    return [((h + np.uint64(j) * step) & np.uint64(ROWS - 1)).astype(np.int64) for j in range(HASHES)]
+    for _ in range(HASHES):
+        yield (h & np.uint64(ROWS - 1)).astype(np.intp)
+        h += step
 
 
 @dataclass
 class Filters:
-    """`masks`: ROWS x words of bitmasks; `wrong`: chance of a false positive by language; `prior`: shares of training texts."""
+    """`masks`: for each eight languages ROWS bitmasks; `wrong`: chance of a false positive by language; `prior`: shares of training texts."""
 
     languages: list[str]
-    masks: np.ndarray
+    masks: list[np.ndarray]
     wrong: np.ndarray
     prior: np.ndarray
 
     def popcounts(self, values: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Texts x languages: how many n-grams of each text are in each language's filter."""
-        found = self.masks[places(values)[0]] if len(values) else np.zeros((0, self.masks.shape[1]), np.uint64)
-        for rows in places(values)[1:] if len(values) else []:
-            found &= self.masks[rows]
-        out = np.zeros((len(at) - 1, len(self.languages)))
-        for i in range(len(self.languages)):
-            hits = (found[:, i // MASK_BITS] >> np.uint64(i % MASK_BITS)) & np.uint64(1)
-            total = np.concatenate([[0], np.cumsum(hits, dtype=np.int64)])
-            out[:, i] = total[at[1:]] - total[at[:-1]]
-        return out
+        owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        rows = list(places(values))
+        out = []
+        for group in self.masks:
+            found = group[rows[0]]
+            for more in rows[1:]:
+                found &= group[more]
+            of = np.bincount(owner * 256 + found, minlength=256 * (len(at) - 1)).reshape(-1, 256)
+            out.append(of @ _BITS)
+        return np.concatenate(out, axis=1)[:, : len(self.languages)].astype(float)
 
     def decide(self, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language number, score) of each text; the score is the language's part of all corrected counts."""
@@ -94,13 +105,14 @@ def _counts(docs: DataFrame) -> DataFrame:
                 for name in dict.fromkeys(lang[lo:hi]):
                     mine = np.array([x == name for x in lang[lo:hi]])
                     found, n = np.unique(values[mine[owner]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    return docs.select("lang", F.lower("text").alias("text")).mapInArrow(run, "lang string, gram long, n long")
+    return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
 
 
 def learn(docs: DataFrame) -> Filters | None:
-    """Filters from all rows of `docs` (text, lang) with both; None without any. What reaches the driver is bounded by ROWS."""
+    """Filters from all rows of `docs` (text, lang) with both; None without any. What reaches the driver is bounded by ROWS
+    masks for each eight languages."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     texts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     languages = [r["lang"] for r in texts]
@@ -115,14 +127,16 @@ def learn(docs: DataFrame) -> Filters | None:
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, number = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.int64)
+            values, number = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at in places(values):
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(number // MASK_BITS, pa.int64()), pa.array(np.int64(1) << (number % MASK_BITS), pa.int64())], ["row", "word", "mask"])
-
-    found = kept.mapInArrow(bits, "row long, word long, mask long").groupBy("row", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    masks = np.zeros((ROWS, (len(languages) - 1) // MASK_BITS + 1), np.uint64)
-    masks[found["row"].to_numpy(), found["word"].to_numpy()] = found["mask"].to_numpy().astype(np.uint64)
-    filled = np.array([np.count_nonzero((masks[:, i // MASK_BITS] >> np.uint64(i % MASK_BITS)) & np.uint64(1)) for i in range(len(languages))])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(number // 8, pa.int32()), pa.array(1 << (number % 8), pa.int32())], ["row", "word", "mask"])
+
+    found = kept.mapInArrow(bits, "row long, word int, mask int").groupBy("row", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    row, word, mask = (found[c].to_numpy() for c in ("row", "word", "mask"))
+    masks = [np.zeros(ROWS, np.uint8) for _ in range((len(languages) - 1) // 8 + 1)]
+    for k, group in enumerate(masks):
+        group[row[word == k]] = mask[word == k]
+    filled = np.array([np.count_nonzero(masks[i // 8] >> (i % 8) & 1) for i in range(len(languages))])
     n = np.array([r["n"] for r in texts], float)
     return Filters(languages, masks, (filled / ROWS) ** HASHES, n / n.sum())
 
@@ -135,7 +149,7 @@ def identify(docs: DataFrame, filters: Filters | None) -> DataFrame:
     frequent there, then the first by name. Columns named lang_pred or score are replaced.
     """
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    lettered = docs.select(*rest, F.lower("text").alias("_lower"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    lettered = docs.select(*rest, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
     schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
