@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallkeeper.llm import words as W
+from stallkeeper.llm.bitmap import bitmap, dense, has_bits
 from stallkeeper.session import stored
 
-WINDOW, SHINGLE, FILTER_BITS = 10, 5, 1 << 26
+WINDOW, SHINGLE = 10, 5
 
 
 def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
@@ -50,25 +51,10 @@ def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
     return source.mapInArrow(run, "item_id long, words string, length int, width int, tokens array<long>")
 
 
-def bitmap(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Cells and their bits of a bitmap over the hashes in column `token`: at most FILTER_BITS / 32 rows reach the driver."""
-    bit = F.pmod("token", F.lit(FILTER_BITS))
-    cells = tokens.select(bit.alias("at")).selectExpr("int(at div 32) AS cell", "shiftleft(1L, int(at % 32)) AS bit")
-    found = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    return found["cell"].to_numpy(), found["bits"].to_numpy().astype(np.uint32)
-
-
-def _dense(sparse: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[sparse[0]] = sparse[1]
-    return out
-
-
 def _passing(words: W.Words, hashes: np.ndarray, width: int, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, place in it, hash) of the shingles that the bitmap has."""
     runs, at = W.shingles(hashes, words.first, width)
-    bit = runs & np.uint64(FILTER_BITS - 1)
-    hit = np.flatnonzero((cells[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
+    hit = np.flatnonzero(has_bits(cells, runs))
     text = np.searchsorted(at, hit, "right") - 1
     return text, hit - at[text], runs[hit]
 
@@ -77,7 +63,7 @@ def shingle_counts(docs: DataFrame, sparse: tuple, widths: list[int]) -> DataFra
     """(token, n): how often each shingle that the bitmap has stands in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = _dense(sparse)
+        cells = dense(sparse)
         for batch in batches:
             found = [np.empty(0, np.uint64)]
             for _, _, data, offsets in W.slices(batch.column(0)):
@@ -98,7 +84,7 @@ def marked(docs: DataFrame, sparse: tuple, widths: list[int], window: int) -> Da
     kind = pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32()), ("lead", pa.int32()), ("around", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = _dense(sparse)
+        cells = dense(sparse)
         for batch in batches:
             for lo, hi, data, offsets in W.slices(batch.column(2)):
                 words = W.split(data, offsets, W.ALNUM)
