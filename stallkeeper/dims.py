@@ -71,7 +71,7 @@ def session_types(spark: SparkSession) -> DataFrame:
 
 
 def scenarios(spark: SparkSession) -> DataFrame:
-    return values(spark, "test_id, name, username, topic, expected_delivery", V.SCENARIOS)
+    return values(spark, "test_id, username, topic, expected_delivery", V.SCENARIOS)
 
 
 def literal_array(items: list) -> Column:

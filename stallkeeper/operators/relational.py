@@ -144,7 +144,7 @@ def head(df: DataFrame, order: list, n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def keep_last(df: DataFrame, order: list[str], n: int = 1000) -> DataFrame:
+def keep_last(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
 
 

@@ -166,7 +166,7 @@ RESTOCK_P = f"""CASE WHEN stock <= 50 THEN 0.15::DOUBLE * least(2.0::DOUBLE, coa
 
 
 def _stocked(m):
-    number = F.substring("sku", 4, 6).cast("long")
+    number = F.expr("substring(sku, 4)").cast("long")
     rate = F.when(number % 3 != 0, (number % 40) / F.lit(10.0))
     return m.stock().select("merchant_id", "sku", "stock", rate.alias("velocity"))
 

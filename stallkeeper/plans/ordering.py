@@ -93,7 +93,7 @@ def tk01(m):
 
 @query("tk03_keep_last_n", f"SELECT order_id, line_no, merchant_id, sku FROM line_sales ORDER BY {', '.join(c + ' DESC' for c in SALE_ORDER)} LIMIT 1000")
 def tk03(m):
-    return R.keep_last(m.line_sales(), SALE_ORDER).select("order_id", "line_no", "merchant_id", "sku")
+    return R.keep_last(m.line_sales(), SALE_ORDER, 1000).select("order_id", "line_no", "merchant_id", "sku")
 
 
 @query("tk04_first_violation", """

@@ -39,7 +39,7 @@ def tables(m: Model) -> dict[str, DataFrame]:
     views = _spoil(views, "instock", k, "instock", lit("maybe"), 0.02)
     views = _spoil(views, "shown", k, "price_viewed", lit(None).cast(MONEY), 0.02)
     views = _spoil(views, "visitor", k, "customer_id", lit(-1).cast("long"), 0.02)
-    views = _spoil(views, "sku", k, "sku", lit("SKU999999"), 0.02)
+    views = _spoil(views, "sku", k, "sku", lit("SKU-none"), 0.02)
     k = ["order_id"]
     status = weighted_choice([s for s, _ in V.FULFILMENT], [w for _, w in V.FULFILMENT], u("status", "order_id"))
     sales = m.event_sales().withColumn("fulfilment_status", status)
