@@ -19,10 +19,13 @@ MIN_QUALITY, MIN_LANGUAGE = 0.5, 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Scores every text by rules learned from all labelled documents; scores below MIN_QUALITY go."""
-    rules = quality.fit(quality.with_stats(docs.select("doc_id", "text"), keep_text=False), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.with_stats(docs.select(F.struct(*docs.columns).alias("row"), "text"), keep_text=False)
-    return scored.where(rules.score() >= MIN_QUALITY).select("row.*")
+    """Scores every text by rules learned from all labelled documents; scores below MIN_QUALITY go.
+
+    Rows are written with their statistics, which take most of the work, so that learning and scoring share them.
+    """
+    rows = stored(quality.with_stats(docs.select(F.struct(*docs.columns).alias("row"), "text"), keep_text=False), "stats")
+    rules = quality.fit(rows.select("row.doc_id", *quality.STATS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rows.where(rules.score() >= MIN_QUALITY).select("row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
