@@ -230,6 +230,16 @@ CROSS: dict[str, tuple[list[str], Callable[[Tables], DataFrame]]] = {
 }
 
 
+def tables_of(rule_id: str) -> set[str]:
+    """The tables that a rule reads; the check for empty tables reads all."""
+    if rule_id == "DQ01":
+        return set(EXAMPLE)
+    if rule_id in CROSS:
+        return set(CROSS[rule_id][0])
+    single = REQUIRED.get(rule_id) or DUPLICATES.get(rule_id)
+    return {single[0]} if single else {r.table for r in ROW_RULES if r.rule_id == rule_id}
+
+
 def rules(tables: Tables, wanted: Iterable[str] | None = None) -> DataFrame:
     """Results of the wanted rules (all by default) that apply to the tables given."""
     ids = set(wanted) if wanted is not None else {f"DQ{i:02d}" for i in range(1, 47)}

@@ -148,7 +148,7 @@ def _register(number: int) -> None:
 
     @query(f"dq{number:02d}_{NAMES[number]}", sql, EXTRA)
     def run(m):
-        tables = damaged.tables(m)
+        tables = damaged.tables(m, Q.tables_of(rule_id))
         if rule_id in DROPPED:
             table = Q.REQUIRED[rule_id][0]
             tables[table] = tables[table].drop(DROPPED[rule_id])
@@ -161,7 +161,7 @@ for _number in NAMES:
 
 @query("dq39_price_never_seen_all", f"SELECT k AS order_id FROM ({_unseen.format(sales='d_sales')})", EXTRA)
 def dq39_all(m):
-    return Q.price_mismatches(damaged.tables(m)).select("order_id")
+    return Q.price_mismatches(damaged.tables(m, ["sales", "views"])).select("order_id")
 
 
 ALL_RULES = " UNION ALL ".join(

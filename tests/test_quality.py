@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stallkeeper.operators import quality as Q
+from stallkeeper.sources import damaged
+from stallkeeper.sources.model import Model
 
 T = datetime(2024, 1, 1, 12)
 
@@ -106,3 +108,18 @@ def test_scores_report_and_run(spark, clean):
     assert lines[0] == "  business_logic_compliance: 90.0%" or "Overall Status: FAILED" in lines
     items = {r.item: r.value for r in Q.validation_run(clean).collect()}
     assert items["is_valid"] == 1.0 and items["total_issues"] == 0 and items["customer_purchase_rate"] == 0.5
+
+
+def test_rules_build_only_the_tables_they_read(spark, monkeypatch):
+    def ledger(self):
+        raise AssertionError("the ledger starts jobs while it is built")
+
+    monkeypatch.setattr(Model, "ledger", ledger)
+    m = Model(spark, "/root/testdata/sf0.001")
+    lone = [r for r in (f"DQ{i:02d}" for i in range(2, 47)) if "inventory_events" not in Q.tables_of(r)]
+    assert len(lone) == 39
+    for rule_id in lone:
+        needed = Q.tables_of(rule_id)
+        tables = damaged.tables(m, needed)
+        assert set(tables) == needed and needed
+        assert Q.rules(tables, [rule_id]).columns[0] == "rule_id"
