@@ -3,7 +3,8 @@
 A plain window puts all rows of a key into one task. Here the rows of a key are cut into chunks that follow the order
 (a stretch of time, by default a day): running values are computed inside each (key, chunk), and the totals of earlier
 chunks, pre-aggregated before their own shuffle, are added by an equi-join. The results are exact. Chunks come from the
-data alone, so a retried task sees the same rows. Keys must not be NULL. The input is read twice: store a costly one first
+data alone, so a retried task sees the same rows. Chunks are joined on a struct of key and chunk, which is never NULL: NULL
+is a key like any other, and windows and joins share one shuffle. The input is read twice: store a costly one first
 (session.stored).
 """
 
@@ -23,14 +24,13 @@ def running(
 
     With include_current=False a row sees only rows before it; the first row of a key gets 0.
     """
-    parts = [*keys, "_chunk"]
-    rows = df.withColumns({"_chunk": chunk, **{f"_v_{n}": e for n, e in sums.items()}})
-    totals = rows.groupBy(*parts).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*parts, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums])
-    inside = W.partitionBy(*parts).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if include_current else -1)
+    rows = df.withColumns({"_at": F.struct(*keys, chunk.alias("_chunk")), **{f"_v_{n}": e for n, e in sums.items()}})
+    totals = rows.groupBy("_at").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    earlier = W.partitionBy(*[F.col("_at")[k] for k in keys]).orderBy("_at._chunk").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("_at", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    inside = W.partitionBy("_at").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if include_current else -1)
     local = rows.withColumns({f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in sums})
-    joined = local.join(offsets, parts, "left")
+    joined = local.join(offsets, "_at", "left")
     return joined.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
 
 
@@ -81,21 +81,19 @@ def sessionize(
 ) -> DataFrame:
     """Add session_no (1-based per key). A gap shorter than gap_seconds continues a session; an equal gap starts one."""
     gap = F.expr(f"interval {gap_seconds} seconds")
-    rows = events.withColumn("_chunk", chunk_of(ts, chunk_seconds))
-    ends = rows.groupBy(key, "_chunk").agg(F.max(ts).alias("_end"))
-    by_chunk = W.partitionBy(key).orderBy("_chunk")
-    before = ends.select(key, "_chunk", F.lag("_end").over(by_chunk).alias("_before"))
-    inside = W.partitionBy(key, "_chunk").orderBy(ts, tie)
+    rows = events.withColumn("_at", F.struct(F.col(key).alias("key"), chunk_of(ts, chunk_seconds).alias("chunk")))
+    ends = rows.groupBy("_at").agg(F.max(ts).alias("_end"))
+    by_chunk = W.partitionBy("_at.key").orderBy("_at.chunk")
+    before = ends.select("_at", F.lag("_end").over(by_chunk).alias("_before"))
+    inside = W.partitionBy("_at").orderBy(ts, tie)
     previous = F.coalesce(F.lag(ts).over(inside), F.col("_before"))
-    flagged = rows.join(before, [key, "_chunk"], "left").withColumn("_prev", previous)
+    flagged = rows.join(before, "_at", "left").withColumn("_prev", previous)
     starts = F.when(F.col("_prev").isNull() | (F.col(ts) - F.col("_prev") >= gap), 1).otherwise(0).cast("long")
     flagged = flagged.withColumn("_start", starts)
-    totals = flagged.groupBy(key, "_chunk").agg(F.sum("_start").alias("_n"))
-    offsets = totals.select(
-        key, "_chunk", F.coalesce(F.sum("_n").over(by_chunk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset")
-    )
+    totals = flagged.groupBy("_at").agg(F.sum("_start").alias("_n"))
+    offsets = totals.select("_at", F.coalesce(F.sum("_n").over(by_chunk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
     local = F.sum("_start").over(inside.rowsBetween(W.unboundedPreceding, 0))
-    numbered = flagged.withColumn("_local", local).join(offsets, [key, "_chunk"], "left")
+    numbered = flagged.withColumn("_local", local).join(offsets, "_at", "left")
     return numbered.select(*events.columns, (F.col("_local") + F.col("_offset")).alias("session_no"))
 
 

@@ -154,3 +154,16 @@ def test_empty_inputs_keep_their_schema(spark):
     assert I.greedy_allocate(sales.drop("merchant_id"), offers, ["order_timestamp", "order_id"]).count() == 0
     assert A.sales_velocity(sales).count() == 0 and A.exact_median(sales, "unit_price").first().median is None
     assert A.funnel(views, frame(spark, [], "event_type string"), sales).first().view_to_cart is None
+
+
+def test_null_keys_run_and_form_sessions(spark):
+    day = datetime(2024, 1, 1, 12)
+    rows = [(k, i, day + timedelta(hours=20 * i), 1) for k in (None, 7) for i in range(4)]
+    df = spark.createDataFrame(rows, "customer_id long, http_request_id long, timestamp timestamp_ntz, v int")
+    for current, want in ((True, [1, 2, 3, 4]), (False, [0, 1, 2, 3])):
+        sums = W.running(df, ["customer_id"], C.chunk_of("timestamp", 86400), ["timestamp"], {"n": F.col("v").cast("long")}, current)
+        for key in (None, 7):
+            assert sorted(r["n"] for r in sums.collect() if r["customer_id"] == key) == want
+    sessions = W.sessionize(df).collect()
+    for key in (None, 7):
+        assert sorted(r["session_no"] for r in sessions if r["customer_id"] == key) == [1, 2, 3, 4]
