@@ -1,8 +1,8 @@
 """Corpus pipeline: quality, language, near copies, benchmark passages, packing, one table after the other.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`. A stage's
-result is written as Parquet and read again as the next one's docs. Rows without a doc_id leave at the near-copy stage, as
-one document of each group is named by its id.
+result is written as Parquet and read again as the next one's docs. Rows count by themselves: one without a doc_id, or with
+the doc_id of another row, stays or goes by its own text.
 """
 
 from __future__ import annotations
@@ -34,16 +34,27 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE)).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with a number of its own for each row, written with the table so that every reader sees the same."""
+    return stored(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+
+
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a similarity of 0.8 over five-word shingles the one with the smallest doc_id stays."""
-    kept = near_dup.near_duplicates(docs, width=5, similarity="0.8").where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of rows linked by a similarity of 0.8 over five-word shingles one stays: that of the smallest doc_id (rows
+    without one last; of equal ids by a hash of the row). A row in no group stays, whatever its doc_id."""
+    rows = keyed(docs)
+    found = near_dup.near_duplicates(rows.select(F.col("row_key").alias("doc_id"), "text"), width=5, similarity="0.8")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "row_key")
+    ranked = found.select(F.col("doc_id").alias("row_key"), "component_id").join(rows.select("row_key", rank.alias("rank")), "row_key")
+    first = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.row_key")
+    return rows.join(first, "row_key", "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with ten consecutive words of a benchmark item (a shorter item: all its words) go."""
-    _, hits, _ = decontaminate.window_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    _, hits, _ = decontaminate.window_hits(rows.select(F.col("row_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(hits.select(F.col("doc_id").alias("row_key")).distinct(), "row_key", "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -349,3 +349,20 @@ def test_spelling_model_keeps_rare_kinds(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAD_WORDS", 1)
     for r in lm.score(rows, "held").collect():
         assert r[:6] == every[r["doc_id"]][:6] and abs(r["score"] - every[r["doc_id"]]["score"]) < 1e-6 * abs(r["score"])
+
+
+def test_pipeline_keeps_rows_without_their_own_id(spark):
+    """Rows with a null or repeated doc_id go only for their own text: as copies, or with a benchmark passage."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    item = max((r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()), key=len)
+    rows = [(None, text("a")), (None, text("b")), (1, text("c")), (1, text("d")), (None, text("e")), (5, text("e")), (4, text("e")), (None, text("f")), (None, text("f")), (2, item), (2, text("g")), (None, item + " x " * 3 + text("h"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dup_stage(spark, docs, folder)
+    assert kept.columns == docs.columns
+    found = [(r["doc_id"], r["text"][:2]) for r in kept.where(f"text NOT LIKE '%{item[:8]}%'").collect()]
+    assert sorted(found, key=str) == sorted([(None, "a0"), (None, "b0"), (1, "c0"), (1, "d0"), (4, "e0"), (None, "f0"), (2, "g0")], key=str)
+    clean = corpus_pipeline.decontamination_stage(spark, kept, folder)
+    assert sorted(((r["doc_id"], r["text"][:2]) for r in clean.collect()), key=str) == sorted(found, key=str)
