@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from stallkeeper.llm import decontaminate, langid, near_dup, packing, quality
 from stallkeeper.session import stored
 
-#: Least quality score and least language score of a document that stays.
-MIN_QUALITY, MIN_LANGUAGE = 0.5, 0.3
+#: Least quality score of a document that stays.
+MIN_QUALITY = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns languages from the labelled documents among `docs`. Texts in no language, or with a score below MIN_LANGUAGE, go."""
-    found = langid.identify(docs, langid.learn(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE)).select(*docs.columns)
+    """Learns languages from the labelled documents among `docs`. Texts in no language go: those without a letter, and those of
+    whose n-grams the best language has none, or less than half of what is typical of its labelled texts."""
+    found = langid.identify(docs.withColumn("row", F.struct(*docs.columns)).select("row", "text"), langid.learn(docs), coverage="coverage")
+    return found.where((F.col("lang_pred") != "und") & langid.covered(langid.coverage_bounds(docs), "coverage")).select("row.*")
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallkeeper.llm import words as W
@@ -21,6 +21,8 @@ from stallkeeper.session import stored
 GRAM, HASHES, ROWS = 4, 3, 1 << 20
 #: An n-gram belongs to a language if its share there is at least this part of its largest share in any.
 OWN = 0.25
+#: Least part of the typical coverage of a language that a text in it has.
+TYPICAL = 0.5
 
 _LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 #: Languages in each value of an eight-bit mask.
@@ -85,14 +87,16 @@ class Filters:
             out.append(of @ _BITS)
         return np.concatenate(out, axis=1)[:, : len(self.languages)].astype(float)
 
-    def decide(self, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(language number, score) of each text; the score is the language's part of all corrected counts."""
+    def decide(self, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language number, score, coverage) of each text: the score is the language's part of all corrected counts, the
+        coverage that of the text's n-grams which its filter has, corrected too."""
         n = np.diff(at)[:, None]
         true = np.maximum(0.0, (self.popcounts(values, at) - n * self.wrong) / np.maximum(1e-9, 1 - self.wrong))
         total = true.sum(axis=1, keepdims=True)
         share = np.where(total > 0, true / np.where(total > 0, total, 1), self.prior)
         best = np.argmax(share + 1e-12 * self.prior, axis=1)
-        return best, np.clip(share[np.arange(len(best)), best], 0.0, 1.0)
+        each = np.arange(len(best))
+        return best, np.clip(share[each, best], 0.0, 1.0), np.clip(true[each, best] / np.maximum(1, n[:, 0]), 0.0, 1.0)
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -141,16 +145,40 @@ def learn(docs: DataFrame) -> Filters | None:
     return Filters(languages, masks, (filled / ROWS) ** HASHES, n / n.sum())
 
 
-def identify(docs: DataFrame, filters: Filters | None) -> DataFrame:
-    """All columns of `docs` (text, ...) with lang_pred and score.
+def coverage_bounds(docs: DataFrame) -> dict[str, float]:
+    """The least coverage of a text in each language, from all rows of `docs` (text, lang) with both.
+
+    A quarter of the texts (by their hash, so that copies stay together) is held out; the bound of a language is TYPICAL of the
+    median coverage of its held-out texts by filters learnt from the others, whatever other languages there are. A language
+    without a held-out text has the bound 0.
+    """
+    marked = docs.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("__out", F.pmod(F.xxhash64("text"), F.lit(4)) == 0)
+    found = identify(marked.where("__out").select("lang", "text"), learn(marked.where(~F.col("__out"))), coverage="coverage")
+    rows = found.where("lang = lang_pred").groupBy("lang").agg(F.percentile_approx("coverage", 0.5, 1000).alias("median")).collect()
+    return {r["lang"]: TYPICAL * r["median"] for r in rows}
+
+
+def covered(bounds: dict[str, float], coverage: str) -> Column:
+    """Whether the text's coverage is above 0 and not below the bound of lang_pred."""
+    least = F.lit(0.0)
+    for name, bound in bounds.items():
+        least = F.when(F.col("lang_pred") == name, F.lit(bound)).otherwise(least)
+    return (F.col(coverage) > 0) & (F.col(coverage) >= least)
+
+
+def identify(docs: DataFrame, filters: Filters | None, coverage: str | None = None) -> DataFrame:
+    """All columns of `docs` (text, ...) with lang_pred and score, and with the text's coverage in a column of that name.
 
     A null text, or one without a letter, is `und` with score 0, as is every text without filters. A text with letters whose
     n-grams no filter has gets the language most frequent in training, with its share as score. Ties go to the language more
-    frequent there, then the first by name. Columns named lang_pred or score are replaced.
+    frequent there, then the first by name. The coverage is the part of the text's n-grams that the filter of lang_pred has,
+    less what false positives explain: 0 where none is found. Columns of these names are replaced.
     """
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    added = ["lang_pred", "score"] + ([coverage] if coverage else [])
+    rest = [c for c in docs.columns if c not in added]
     lettered = docs.select(*rest, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
     schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double")
+    schema = schema.add(coverage, "double") if coverage else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,10 +186,11 @@ def identify(docs: DataFrame, filters: Filters | None) -> DataFrame:
             for lo, hi, data, offsets in W.slices(batch.column(k)):
                 letters = np.array(batch.column(k + 1).slice(lo, hi - lo).to_pylist(), bool)
                 if filters is None:
-                    names, score = ["und"] * (hi - lo), np.zeros(hi - lo)
+                    names, score, part = ["und"] * (hi - lo), np.zeros(hi - lo), np.zeros(hi - lo)
                 else:
-                    best, score = filters.decide(*grams(data, offsets))
-                    names, score = [filters.languages[b] if has else "und" for b, has in zip(best, letters, strict=True)], score * letters
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(k)), pa.array(names, pa.string()), pa.array(score)], [*rest, "lang_pred", "score"])
+                    best, score, part = filters.decide(*grams(data, offsets))
+                    names, score, part = [filters.languages[b] if has else "und" for b, has in zip(best, letters, strict=True)], score * letters, part * letters
+                found = [pa.array(names, pa.string()), pa.array(score), pa.array(part)][: len(added)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(k)), *found], [*rest, *added])
 
     return lettered.mapInArrow(run, schema)

@@ -366,3 +366,21 @@ def test_pipeline_keeps_rows_without_their_own_id(spark):
     assert sorted(found, key=str) == sorted([(None, "a0"), (None, "b0"), (1, "c0"), (1, "d0"), (4, "e0"), (None, "f0"), (2, "g0")], key=str)
     clean = corpus_pipeline.decontamination_stage(spark, kept, folder)
     assert sorted(((r["doc_id"], r["text"][:2]) for r in clean.collect()), key=str) == sorted(found, key=str)
+
+
+def test_language_stage_takes_out_texts_in_no_language(spark, monkeypatch):
+    """Scripts never learnt, letter salad and an unknown language go, however few languages there are; labelled texts stay."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    letters = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(n))
+    odd = ["Все люди рождаются свободными и равными в своем достоинстве и правах", "すべての人間は生まれながらにして自由であり", letters(300), "1234 5678"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 200").select("doc_id", "text", "lang")
+    most = [r["lang"] for r in docs.groupBy("lang").count().orderBy(F.desc("count")).collect()]
+    for languages in (most, most[:2]):
+        known = docs.where(F.col("lang").isin(languages))
+        extra = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+        kept = corpus_pipeline.language_stage(spark, known.union(extra), "")
+        assert kept.columns == docs.columns
+        assert not kept.where("doc_id < 0").count()
+        assert kept.count() >= 0.99 * known.count()
