@@ -341,9 +341,9 @@ def test_pipeline(spark):
 def test_spelling_model_keeps_rare_kinds(spark, monkeypatch):
     """A kind seen once is learnt however long the corpus; what is sent to executors and what is joined give the same scores."""
     bulk = [(i, "aaaa " * 20_000, False) for i in range(1, 9)]
-    rows = spark.createDataFrame([*bulk, (20, "qxzj vkwy", False), (21, "qxzj", True), (22, None, True), (None, "aaaa jzxq", True)], "doc_id long, text string, held boolean")
-    key = np.array([int.from_bytes(b"qxzj", "big") << 8 | ord(" ")], np.uint64)
-    assert 10 ** lm.learn(rows.where("NOT held").select("text")).log10(key)[0] > 0.05
+    rows = spark.createDataFrame([*bulk, (19, "zaaab", False), (20, "qxzj vkwy", False), (21, "qxzj", True), (22, None, True), (None, "aaaa jzxq", True)], "doc_id long, text string, held boolean")
+    key = np.array([int.from_bytes(b"zaaa", "big") << 8 | ord("b")], np.uint64)
+    assert 10 ** lm.learn(rows.where("NOT held").select("text")).log10(key)[0] > 0.01
     every = {r["doc_id"]: r for r in lm.score(rows, "held").collect()}
     monkeypatch.setattr(lm, "HEAD_KINDS", 5)
     monkeypatch.setattr(lm, "HEAD_WORDS", 1)
