@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkeeper.llm import decontaminate, html_text, langid, licenses, lm, near_dup, packing, quality, token_files, topk
+from stallkeeper.llm import decontaminate, html_text, langid, licenses, lm, near_dup, packing, quality, secret_scan, token_files, topk
 from stallkeeper.session import scratch, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,48 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: The patterns of `secret_scan.RULES` for DuckDB, with both cases spelled out, the group that is measured, and its least length.
+_SECRETS = [
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+    ("forge", "gh[oprsu]_[A-Za-z0-9]+", 0, 40),
+    ("chat", "xox[abprs]-[A-Za-z0-9-]+", 0, 20),
+    ("pay", "[rs]k_live_[A-Za-z0-9]+", 0, 24),
+    ("url", r"://[^\x00-\x20:/@]{1,200}:[^\x00-\x20/@]{1,200}@", 0, 0),
+]
+
+
+def _secret_spans() -> str:
+    """Matches and the pieces between them give the places: a match starts after all pieces and matches before it."""
+    parts = []
+    for place, (kind, pattern, group, least) in enumerate(_SECRETS):
+        pattern = pattern.replace("'", "''")
+        parts.append(f"""SELECT id, '{kind}' AS kind, {place} AS place, list_sum([len(x) FOR x IN cut[1:i]]) + coalesce(list_sum([len(x) FOR x IN hit[1:i - 1]]), 0) AS a, len(hit[i]) AS n
+    FROM (SELECT id, hit, cut, part, unnest(range(1, len(hit) + 1)) AS i FROM (SELECT id, regexp_extract_all(t, '{pattern}') AS hit, regexp_extract_all(t, '{pattern}', {group}) AS part,
+        string_split_regex(t, '{pattern}') AS cut FROM d)) WHERE len(part[i]) >= {least}""")
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    "op11_secret_scan",
+    f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+s AS MATERIALIZED ({_secret_spans()}),
+g AS (SELECT id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+    string_agg(concat_ws(':', kind, CAST(a AS BIGINT), CAST(a + n AS BIGINT)), ',' ORDER BY a, place) FILTER (place < 3) AS base,
+    string_agg(concat_ws(':', kind, CAST(a AS BIGINT), CAST(a + n AS BIGINT)), ',' ORDER BY a, place) AS spans FROM s GROUP BY id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (id)""",
+)
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = secret_scan.Ledger.create(spark, scratch(spark, "ledger"))
+    found = ledger.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    base = F.filter("spans", lambda s: s["place"] < 3)
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(written(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, written("spans").alias("spans"))
