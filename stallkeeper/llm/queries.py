@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallkeeper.llm import decontaminate, html_text, langid, licenses, lm, near_dup, packing, quality, secret_scan, token_files, topk
+from stallkeeper.llm import centroids, decontaminate, html_text, langid, licenses, lm, near_dup, packing, quality, ranked, secret_scan, token_files, topk
 from stallkeeper.session import scratch, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,47 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     digest = F.sha2(written(base).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), digest, written("spans").alias("spans"))
+
+
+@query(
+    "op12_ranked_search",
+    rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+k AS MATERIALIZED (SELECT r, doc_id, len(w) AS n, w FROM d WHERE len(w) > 0),
+a AS MATERIALIZED (SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS l FROM k),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+p AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM k) SEMI JOIN (SELECT DISTINCT t FROM q) USING (t) GROUP BY r, t),
+f AS MATERIALIZED (SELECT t, CAST(floor(1000 * ln((2 * a.n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, a GROUP BY t, a.n),
+m AS MATERIALIZED (SELECT r, doc_id, 50 + (50 * k.n * a.n) // a.l AS m FROM k, a),
+s AS (SELECT q.item_id, m.r, m.doc_id, CAST(sum(f.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * m.m))) AS BIGINT) AS score
+    FROM q JOIN f USING (t) JOIN p USING (t) JOIN m ON p.r = m.r GROUP BY q.item_id, m.r, m.doc_id),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM o WHERE rank <= 50""",
+)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _rounds(rounds: int = 3, k: int = 16) -> str:
+    """One step of assignment and centroids after the other; the last one's assignment is the result."""
+    nearest = "SELECT v.r, arg_min(c.i, (list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v.v, c.v)]), c.i)) AS i, min(CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v.v, c.v)]) AS BIGINT)) AS d FROM v, c{} c GROUP BY v.r"
+    steps = [f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS INTEGER) AS i, v FROM v QUALIFY i < {k})"]
+    for j in range(rounds + 1):
+        steps.append(f"a{j} AS MATERIALIZED ({nearest.format(j)})")
+        if j < rounds:
+            steps.append(f"""c{j + 1} AS MATERIALIZED (SELECT c.i, coalesce(g.v, c.v) AS v FROM c{j} c LEFT JOIN (SELECT i, list(x ORDER BY p) AS v FROM
+    (SELECT i, p, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x FROM (SELECT a.i, unnest(v.v) AS x, unnest(range(1, 65)) AS p FROM a{j} a JOIN v USING (r)) GROUP BY i, p) GROUP BY i) g USING (i))""")
+    return ",\n".join(steps)
+
+
+@query(
+    "op13_centroid_clusters",
+    f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+{_rounds()}
+SELECT v.vec_id, a.i AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.i) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM v JOIN a3 a USING (r) JOIN c3 c USING (i)""",
+)
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
