@@ -34,8 +34,8 @@ from stallkeeper.session import stored
 
 #: Documents of a segment, segments that give a query its first threshold, and query terms that are sent to the tasks at once.
 SEGMENT, FIRST, BLOCK_TERMS = 4096, 4, 100_000
-#: Postings and documents that a task scores in one go, about.
-WORK = 1 << 20
+#: Postings and documents that a task scores in one go, about, and strata of several segments that are sent to all executors.
+WORK, MOST_STRATA = 1 << 20, 100_000
 #: Stands for a null doc_id inside the index; it comes last among equal scores.
 NO_ID = 2**63 - 1
 TOKENS = "row long, doc_id long, n long, terms array<long>, tfs array<int>"
@@ -95,8 +95,14 @@ def build(documents: DataFrame, only: tuple | None = None, segment: int = SEGMEN
     n, total = int(size["n"]), int(size["l"])
     # No overflow while documents times words of the longest one stay below 1.8 * 10^17.
     placed = rows.withColumn("m", F.expr(f"50L + (50L * n * {n}L) div {max(total, 1)}L")).where(F.size("terms") > 0)
-    strata = placed.groupBy("m").agg(F.ceil(F.count("*") / segment).cast("int").alias("parts"))
-    placed = placed.join(strata, "m").withColumn("segment", F.pmod(F.hash("row"), F.col("parts")))
+    counted = placed.groupBy("m").agg(F.ceil(F.count("*") / segment).cast("int").alias("parts"))
+    large = stored(counted.where(F.col("parts") > 1), "strata")
+    # Sent to the executors the cuts leave only one shuffle, by (m, segment); a join on m alone would deal a stratum to one task.
+    small_enough = large.count() <= MOST_STRATA
+    placed = placed.join(F.broadcast(large) if small_enough else large, "m", "left")
+    placed = placed.withColumn("segment", F.pmod(F.hash("row"), F.coalesce("parts", F.lit(1))))
+    if not small_enough:
+        placed = placed.repartition("m", "segment")
 
     def make(key: tuple, table: pa.Table) -> pa.Table:
         ids = table["doc_id"].fill_null(NO_ID).to_numpy()
@@ -314,22 +320,22 @@ def search(documents: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
 
 
 def _answer(index: Index, weighed: DataFrame, k: int) -> DataFrame:
-    rows: pd.DataFrame = weighed.select("item_id", "term", "weight").toPandas()
-    ids, query = np.unique(rows["item_id"].fillna(NO_ID).to_numpy(np.int64) if len(rows) else np.empty(0, np.int64), return_inverse=True)
+    rows: pd.DataFrame = weighed.select(F.coalesce("item_id", F.lit(NO_ID)).alias("item_id"), "term", "weight").toPandas()
+    ids, query = np.unique(rows["item_id"].to_numpy(np.int64), return_inverse=True)
     terms, term = np.unique(rows["term"].to_numpy(np.int64), return_inverse=True)
     by = np.lexsort((term, query))
     block = Block(len(ids), terms, query[by], term[by], rows["weight"].to_numpy(np.int64)[by])
     segments, spark = index.segments, index.segments.sparkSession
-    least = np.ones(len(ids), np.int64)
-    if len(ids):
-        only: dict = {}
-        for q, m, s in _first_segments(segments, block).toPandas().itertuples(index=False):
-            only.setdefault((m, s), []).append(q)
-        places = spark.createDataFrame([(int(m), int(s)) for m, s in only], "m long, segment int")
-        # At most FIRST segments a query of the block.
-        seen = _visit(segments.join(F.broadcast(places), ["m", "segment"], "left_semi").select(*segments.columns), block, k, least, only)
-        for q, score in _ranked(seen, k).where(F.col("rank") == k).select("query", "score").toPandas().itertuples(index=False):
-            least[q] = score
+    if not len(ids):
+        return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
+    least, only = np.ones(len(ids), np.int64), {}
+    for q, m, s in _first_segments(segments, block).toPandas().itertuples(index=False):
+        only.setdefault((m, s), []).append(q)
+    places = spark.createDataFrame([(int(m), int(s)) for m, s in only], "m long, segment int")
+    # At most FIRST segments a query of the block.
+    seen = _visit(segments.join(F.broadcast(places), ["m", "segment"], "left_semi").select(*segments.columns), block, k, least, only)
+    for q, score in _ranked(seen, k).where(F.col("rank") == k).select("query", "score").toPandas().itertuples(index=False):
+        least[q] = score
     names = spark.createDataFrame(pd.DataFrame({"query": np.arange(len(ids)), "item": ids}), "query long, item long")
     best = _ranked(_visit(segments, block, k, least), k).join(F.broadcast(names), "query")
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
