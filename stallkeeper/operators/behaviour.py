@@ -8,6 +8,7 @@ from stallkeeper import dims, values as V
 from stallkeeper.functions import scores
 from stallkeeper.functions.calendar import is_promotional
 from stallkeeper.functions.hashing import u, weighted_choice
+from stallkeeper.operators.history import Level, as_of
 
 
 def assign_segment(customers: DataFrame) -> DataFrame:
@@ -86,13 +87,17 @@ def lookup(score_map: Column, key: Column, default: float) -> Column:
     return F.coalesce(F.try_element_at(score_map, key), F.lit(default))
 
 
-def history_as_of(sales: DataFrame, cutoff: str, products: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Purchases before the cutoff: (count and mean price per customer, count per customer and category)."""
-    past = sales.filter(F.col("order_timestamp") < F.lit(cutoff).cast("timestamp_ntz"))
-    by_customer = past.groupBy("customer_id").agg(
-        F.count("*").alias("purchases"), (F.sum("unit_price").cast("double") / F.count("unit_price")).alias("past_price")
-    )
-    return by_customer, category_purchases(past, products)
+def with_history(views: DataFrame, sales: DataFrame, products: DataFrame) -> DataFrame:
+    """Views with their category and, of the customer's sales strictly before the view: number, mean price (NULL without any)
+    and number in that category. A view without customer has no history."""
+    category = products.select("sku", "category")
+    sold = sales.select("customer_id", "sku", "unit_price", "order_timestamp").join(category, "sku", "left").fillna({"category": "Unknown"})
+    seen = views.join(category, "sku", "left").fillna({"category": "Unknown"})
+    one = F.lit(1).cast("long")
+    overall = Level([], {"purchases": one, "_priced": F.when(F.col("unit_price").isNotNull(), one), "_spend": F.col("unit_price")})
+    counted = as_of(seen, sold, ["customer_id"], [overall, Level(["category"], {"category_purchases": one})], "timestamp", "order_timestamp")
+    mean = F.when(F.col("_priced") > 0, F.col("_spend").cast("double") / F.col("_priced"))
+    return counted.withColumn("past_price", mean).drop("_priced", "_spend")
 
 
 def category_purchases(sales: DataFrame, products: DataFrame) -> DataFrame:
@@ -105,31 +110,24 @@ def category_purchases(sales: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def score_views(
-    views: DataFrame, profiles: DataFrame, products: DataFrame, sales: DataFrame | None = None, cutoff: str | None = None,
-    promo_day: str = "to_date(timestamp)",
-) -> DataFrame:
-    """Customer views with profile, history as of the cutoff and all behaviour scores.
+def score_views(views: DataFrame, profiles: DataFrame, products: DataFrame, promo_day: str = "to_date(timestamp)") -> DataFrame:
+    """Customer views with profile and all behaviour scores.
 
-    `views` needs session_no. Views of customers without profile keep NULL scores and the default probabilities.
+    `views` needs session_no. With the columns of `with_history` scores see each customer's past, without them all customers
+    are new. Views of customers without profile keep NULL scores and the default probabilities.
     """
     spark = views.sparkSession
     kinds = [s[0] for s in V.SESSION_TYPES]
     session_type = weighted_choice(kinds, [s[1] for s in V.SESSION_TYPES], F.col("_draw"))
+    if "category_purchases" not in views.columns:
+        views = views.join(products.select("sku", "category"), "sku", "left").fillna({"category": "Unknown"})
+        views = views.withColumns({"purchases": F.lit(0).cast("long"), "past_price": F.lit(None).cast("double"), "category_purchases": F.lit(0).cast("long")})
     base = (
         views.withColumn("_draw", u("session_type", "customer_id", "session_no")).withColumn("session_type", session_type).drop("_draw")
         .join(dims.session_types(spark).select("session_type", "add_base", "abandon_factor"), "session_type", "left")
-        .join(products.select("sku", "category"), "sku", "left")
-        .fillna({"category": "Unknown"})
         .join(profiles.select("customer_id", "segment", "gender", "tech_affinity", "price_sensitivity", "cart_abandonment_rate",
                               "conversion_base", "avg_items_per_cart", "preferred_categories"), "customer_id", "left")
     )
-    if sales is None:
-        base = base.withColumns({"purchases": F.lit(0).cast("long"), "past_price": F.lit(None).cast("double"), "category_purchases": F.lit(0).cast("long")})
-    else:
-        by_customer, by_category = history_as_of(sales, cutoff, products)
-        base = base.join(by_customer, "customer_id", "left").join(by_category, ["customer_id", "category"], "left")
-        base = base.fillna({"purchases": 0, "category_purchases": 0})
     price, sens, past = F.col("price_viewed").cast("double"), F.col("price_sensitivity"), F.col("past_price")
     segment, n = "segment", F.col("purchases")
     promotional = is_promotional(promo_day)

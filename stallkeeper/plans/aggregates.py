@@ -8,6 +8,7 @@ from stallkeeper.operators import access, aggregates as A, behaviour, quality as
 from stallkeeper.plans import duck as D
 from stallkeeper.plans.base import query
 from stallkeeper.plans.joins import LENIENT, VERDICT
+from stallkeeper.plans.scored import EXTRA
 
 
 def mean(column: str) -> str:
@@ -206,10 +207,10 @@ def ag21(m):
 
 
 @query("ag22_price_expectation", """
-    SELECT customer_id, count(*) AS purchases, sum(unit_price)::DOUBLE / count(*) AS past_price FROM event_sales
-    WHERE order_timestamp < TIMESTAMP '2024-01-16' GROUP BY 1""")
+    SELECT v.http_request_id, coalesce(h.purchases, 0) AS purchases, h.past_price FROM views v LEFT JOIN view_history h ON v.http_request_id = h.http_request_id""", EXTRA)
 def ag22(m):
-    return behaviour.history_as_of(m.event_sales(), "2024-01-16", m.products())[0]
+    found = behaviour.with_history(m.views(), m.event_sales(), m.products())
+    return found.select("http_request_id", "purchases", "past_price")
 
 
 @query("ag23_superuser_count", """

@@ -128,7 +128,7 @@ MODEL: dict[str, str] = {
     "stock": """
         SELECT merchant_id, sku, CAST(sum(quantity) AS BIGINT) AS stock FROM movements GROUP BY merchant_id, sku""",
     "cart_events": """
-        SELECT user_id * 100 + day(ts) AS cart_id, user_id AS customer_id,
+        SELECT user_id * 100000000 + year(ts) * 10000 + month(ts) * 100 + day(ts) AS cart_id, user_id AS customer_id,
                printf('SKU%06d', CAST(props->>'k' AS BIGINT)) AS sku, CAST(1 + event_id % 3 AS INTEGER) AS quantity,
                CAST(value AS DECIMAL(12,2)) AS price, ts AS "timestamp",
                CASE event_type WHEN 'click' THEN 'add_to_cart' WHEN 'error' THEN 'cart_abandoned'

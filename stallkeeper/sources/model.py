@@ -150,7 +150,7 @@ class Model:
         kind = F.col("event_type")
         named = F.when(kind == "click", "add_to_cart").when(kind == "error", "cart_abandoned").when(kind == "purchase", "ready_to_purchase")
         return events.filter("event_type <> 'view'").select(
-            (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("cart_id"),
+            (F.col("user_id") * 100_000_000 + F.year("ts") * 10_000 + F.month("ts") * 100 + F.dayofmonth("ts")).alias("cart_id"),
             F.col("user_id").alias("customer_id"),
             self._event_sku().alias("sku"),
             (1 + F.col("event_id") % 3).cast("int").alias("quantity"),
