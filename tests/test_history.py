@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from stallkeeper.operators.history import Level, as_of
 
 START = datetime(2024, 1, 30)
-PROBE, EVENT = "id long, who string, kind string, at timestamp_ntz, n int", "who string, kind string, t timestamp_ntz, price decimal(12,2)"
-LEVELS = [Level([], {"events": F.lit(1).cast("long"), "spend": F.col("price")}), Level(["kind"], {"alike": F.lit(1).cast("long")})]
+PROBE = "id long, who string, kind string, at timestamp_ntz, n int"
+
+
+def levels():
+    return [Level([], {"events": F.lit(1).cast("long"), "spend": F.col("price")}), Level(["kind"], {"alike": F.lit(1).cast("long")})]
 
 
 def tables(spark, n=400, seed=1):
@@ -32,7 +35,7 @@ def brute(probes, events):
 
 def run(spark, probes, events, **options):
     p, e = spark.createDataFrame(probes, PROBE), spark.createDataFrame(events, "who string, kind string, t timestamp_ntz, price int")
-    out = as_of(p.repartition(3), e.withColumn("price", F.col("price").cast("decimal(12,2)")), ["who"], LEVELS, "at", "t", **options)
+    out = as_of(p.repartition(3), e.withColumn("price", F.col("price").cast("decimal(12,2)")), ["who"], levels(), "at", "t", **options)
     assert out.columns == ["id", "who", "kind", "at", "n", "events", "spend", "alike"]
     return sorted((r[0], r[1], r[2], r[3], r[4], r[5], int(r[6]), r[7]) for r in out.collect())
 
@@ -53,7 +56,7 @@ def test_a_hot_key_is_cut_into_stretches(spark):
     """One customer has all rows; no task of the window sees more than a day of them."""
     rows = spark.range(4800).select("id", F.lit("a").alias("who"), F.lit("x").alias("kind"), (F.lit(START) + F.make_dt_interval(hours=(F.col("id") % 480).cast("int"))).cast("timestamp_ntz").alias("at"), F.lit(1).alias("n"))
     events = rows.select("who", "kind", F.col("at").alias("t"), F.lit(1).cast("decimal(12,2)").alias("price"))
-    out = as_of(rows, events, ["who"], LEVELS, "at", "t")
+    out = as_of(rows, events, ["who"], levels(), "at", "t")
     wrong = out.where(F.col("events") != 10 * (F.col("id") % 480))
     assert wrong.count() == 0 and out.count() == 4800
     sizes = out.groupBy(F.spark_partition_id()).count().collect()
