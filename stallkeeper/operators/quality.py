@@ -10,12 +10,11 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stallkeeper import dims, values as V
 from stallkeeper.functions.scalar import contains_at, keyword_match
 from stallkeeper.operators import aggregates as A, relational as R
-from stallkeeper.session import stored
 
 Tables = dict[str, DataFrame]
 c = F.col
@@ -196,9 +195,14 @@ def _dq42(tables: Tables) -> DataFrame:
     return _range_rule(rate, "DQ42", "sales", V.ISSUES["DQ42"], c("r"), *V.CONVERSION_RANGE)
 
 
-def _dq38(tables: Tables) -> DataFrame:
+def sold_out_of_stock(tables: Tables) -> DataFrame:
+    """Sales near a view that showed the sku as out of stock."""
     sold = R.views_near_sales(tables["sales"], _views(tables).filter("instock IS NOT NULL AND timestamp IS NOT NULL"))
-    return _count(sold.filter("has_out_of_stock_view"), "DQ38", "sales", V.ISSUES["DQ38"], c("order_id"))
+    return sold.filter("has_out_of_stock_view")
+
+
+def _dq38(tables: Tables) -> DataFrame:
+    return _count(sold_out_of_stock(tables), "DQ38", "sales", V.ISSUES["DQ38"], c("order_id"))
 
 
 def _dq41(tables: Tables) -> DataFrame:
@@ -254,69 +258,33 @@ def rules(tables: Tables, wanted: Iterable[str] | None = None) -> DataFrame:
 STRUCTURE = [f"DQ{i:02d}" for i in range(1, 35)]
 
 
+def issue_text() -> Column:
+    """Table rules carry the table name in front."""
+    return F.when(c("rule_id").isin(STRUCTURE), F.concat(c("table_name"), F.lit(".csv: "), c("issue"))).otherwise(c("issue"))
+
+
 def issues(results: DataFrame) -> DataFrame:
-    """The fired rules as numbered issue texts; table rules carry the table name in front."""
-    text = F.when(c("rule_id").isin(STRUCTURE), F.concat(c("table_name"), F.lit(".csv: "), c("issue"))).otherwise(c("issue"))
-    return results.filter("violations > 0").withColumn("issue_text", text)
+    """The fired rules with their issue texts."""
+    return results.filter("violations > 0").withColumn("issue_text", issue_text())
 
 
-def quality_scores(found: DataFrame) -> DataFrame:
-    """Scores from the issue texts by keyword, each at least 0."""
+def scores(text: Column) -> list[Column]:
+    """Aggregates of issue texts (NULL: none) to scores by keyword, each at least 0."""
     score = lambda hits, scale: F.greatest(F.lit(0.0), 1 - hits / F.lit(float(scale)))
-    text = c("issue_text")
-    return found.agg(
+    return [
         score(F.count_if(keyword_match(text, ["reference"])), 100).alias("referential_integrity"),
         score(F.count_if(keyword_match(text, ["price", "stock", "inventory"])), 10).alias("business_logic_compliance"),
-        score(F.count("*"), 50).alias("overall_quality_score"),
-        F.count("*").alias("total_issues"),
-    )
+        score(F.count(text), 50).alias("overall_quality_score"),
+        F.count(text).alias("total_issues"),
+    ]
+
+
+def quality_scores(found: DataFrame) -> DataFrame:
+    return found.agg(*scores(c("issue_text")))
 
 
 def first_issues(found: DataFrame, n: int = 20) -> DataFrame:
-    """First n issues in rule order and how many more there are."""
-    return _first(stored(found, "issues"), n)
-
-
-def _first(found: DataFrame, n: int = 20) -> DataFrame:
-    order = ["rule_id", "table_name", "issue"]
-    rest = found.agg(F.greatest(F.lit(0).cast("long"), F.count("*") - n)).scalar()
-    return R.head(found, order, n).select("rule_id", "issue_text").withColumn("more", rest)
-
-
-def validation_run(tables: Tables) -> DataFrame:
-    """Full run as (item, value): issue total, validity, completeness, scores, purchase and conversion rate."""
-    scored = quality_scores(issues(rules(tables)))
-    complete = A.completeness(A.table_summary(tables)).scalar()
-    wide = scored.withColumns({
-        "is_valid": (c("total_issues") == 0).cast("double"),
-        "data_completeness": complete,
-        "customer_purchase_rate": A.purchase_rate(tables["sales"], tables["customers"]).select("purchase_rate").scalar(),
-        "overall_conversion_rate": A.ratio_of_counts(tables["sales"], tables["views"], "r").select("r").scalar(),
-    })
-    names = ["total_issues", "is_valid", "data_completeness", "referential_integrity", "business_logic_compliance", "overall_quality_score",
-             "customer_purchase_rate", "overall_conversion_rate"]
-    return wide.select(F.inline(F.array(*[F.struct(F.lit(n).alias("item"), c(n).cast("double").alias("value")) for n in names])))
-
-
-def report_lines(tables: Tables) -> DataFrame:
-    """The run as ordered text lines: status, totals, metrics, row counts, first issues."""
-    found = stored(issues(rules(tables)), "issues")
-    scores = quality_scores(found)
-    percent = lambda name: F.format_string(f"  {name}: %.1f%%", c(name) * 100)
-    head = scores.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("section"), F.lit(0).cast("long").alias("position"), text.alias("line"))
-        for i, text in enumerate([
-            F.when(c("total_issues") == 0, "Overall Status: PASSED").otherwise("Overall Status: FAILED"),
-            F.format_string("Total Issues Found: %d", c("total_issues")),
-            percent("referential_integrity"), percent("business_logic_compliance"), percent("overall_quality_score"),
-        ])
-    ])))
-    summary = A.table_summary(tables).select(
-        F.lit(10).alias("section"), F.lit(0).cast("long").alias("position"),
-        F.format_string("  %s: %d rows, %d columns, %d null values", "table_name", "row_count", "column_count", "null_values").alias("line"),
-    )
-    first = _first(found)
-    listed = first.select(F.lit(20).alias("section"), F.lit(0).cast("long").alias("position"), F.concat(c("rule_id"), F.lit(" "), c("issue_text")).alias("line"))
-    rest = first.agg(F.max("more").alias("m")).filter("m > 0").select(
-        F.lit(30).alias("section"), F.lit(0).cast("long").alias("position"), F.format_string("  ... and %d more issues", "m").alias("line"))
-    return head.unionByName(summary).unionByName(listed).unionByName(rest).drop("position").orderBy("section", "line")
+    """First n issues in rule order and how many more there are. There is one row per rule at most."""
+    order = W.orderBy("rule_id", "table_name", "issue")
+    numbered = found.withColumns({"_at": F.row_number().over(order), "_all": F.count("*").over(W.partitionBy())})
+    return numbered.filter(c("_at") <= n).select("rule_id", "issue_text", F.greatest(F.lit(0).cast("long"), c("_all") - n).alias("more"))

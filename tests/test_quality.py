@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from stallkeeper.operators import quality as Q
+from stallkeeper.operators import aggregates as A, quality as Q, validation
 from stallkeeper.sources import damaged
 from stallkeeper.sources.model import Model
 
@@ -102,11 +102,16 @@ def test_uneven_days(spark, clean):
 
 def test_scores_report_and_run(spark, clean):
     tables = {**clean, **DAMAGE["DQ35"](clean), **DAMAGE["DQ15"](clean)}
-    scores = Q.quality_scores(Q.issues(Q.rules(tables))).first()
+    scores = validation.quality_scores(tables).first()
+    assert scores == Q.quality_scores(Q.issues(Q.rules(tables))).first()
     assert (scores.total_issues, scores.referential_integrity, scores.business_logic_compliance, scores.overall_quality_score) == (2, 0.99, 0.9, 0.96)
-    lines = [r.line for r in Q.report_lines(tables).collect()]
-    assert lines[0] == "  business_logic_compliance: 90.0%" or "Overall Status: FAILED" in lines
-    items = {r.item: r.value for r in Q.validation_run(clean).collect()}
+    lines = [r.line for r in validation.report_lines(tables).collect()]
+    assert lines[:2] == ["Overall Status: FAILED", "Total Issues Found: 2"] and "  customers: 2 rows, 6 columns, 0 null values" in lines
+    assert [x for x in lines if x.startswith("DQ")] == [f"{r.rule_id} {r.issue_text}" for r in Q.issues(Q.rules(tables)).orderBy("rule_id").collect()]
+    assert "  ... and 1 more issues" in [r.line for r in validation.report_lines(tables, first=1).collect()]
+    empty = {name: df.filter("false") for name, df in clean.items()}
+    assert {r.item: r.value for r in validation.validation_run(empty).collect()}["total_issues"] == 7
+    items = {r.item: r.value for r in validation.validation_run(clean).collect()}
     assert items["is_valid"] == 1.0 and items["total_issues"] == 0 and items["customer_purchase_rate"] == 0.5
 
 
@@ -123,3 +128,40 @@ def test_rules_build_only_the_tables_they_read(spark, monkeypatch):
         tables = damaged.tables(m, needed)
         assert set(tables) == needed and needed
         assert Q.rules(tables, [rule_id]).columns[0] == "rule_id"
+
+
+def as_set(results):
+    return {(r.rule_id, r.table_name, r.issue, r.violations, None if r.measure is None else round(r.measure, 9), r.example) for r in results.collect()}
+
+
+def test_the_fused_run_gives_what_the_rules_give_one_by_one(spark, clean):
+    damaged_all = dict(clean)
+    for rule in ("DQ03", "DQ09", "DQ17", "DQ19", "DQ24", "DQ04", "DQ05", "DQ06", "DQ13", "DQ15", "DQ22", "DQ28", "DQ30", "DQ34", "DQ35", "DQ36", "DQ40", "DQ41", "DQ43"):
+        damaged_all |= DAMAGE[rule](damaged_all)
+    damaged_all["sales"] = damaged_all["sales"].unionByName(damaged_all["sales"].withColumns({"merchant_id": F.lit(None).cast("string"), "quantity": F.lit(7)}))
+    text = DAMAGE["DQ20"](clean) | {"customers": without("customers", "city")(clean)["customers"]} | {"offers": without("offers", "inventory")(clean)["offers"]}
+    for tables in (clean, damaged_all, clean | text, {"customers": clean["customers"]}, {n: t.filter("false") for n, t in clean.items()}):
+        assert as_set(validation.rules(tables)) == as_set(Q.rules(tables))
+
+
+def test_the_full_run_reads_tables_a_few_times(spark):
+    tables = damaged.tables(Model(spark, "/root/testdata/sf0.001"), [n for n in Q.EXAMPLE if n != "inventory_events"])
+    plan = validation.Run({n: validation.stored(df, n) for n, df in tables.items()}).result()
+    text = plan._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("FileScan") <= 8  # each of six tables once, sales and views once more below a subquery
+
+
+def test_median_of_many_values_between_zero_and_one(spark, monkeypatch):
+    rows = spark.range(100_001).select((F.pmod(F.col("id") * 7919, F.lit(100_001)) / 100_001).alias("x"))
+    lo, hi = A.median_bounds(rows, "x", 1000)
+    inside = rows.where(F.col("x").between(lo, hi)).count()
+    assert inside < 1000 and A.exact_median(rows, "x", 1000).first().median == 50_000 / 100_001
+    assert A.exact_median(rows, "x", 5).first().median == 50_000 / 100_001  # bounds are narrowed again
+    tied = rows.select(F.when(F.col("x") < 0.9, F.lit(3.0)).otherwise(F.col("x")).alias("x"))
+    assert A.exact_median(tied, "x", 5).first().median == 3.0
+
+
+def test_duplicates_by_row_digest(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (None, 1, "a"), (1, None, "a"), (None, None, None), (None, None, None), (1, 1, "")], "x int, y int, z string")
+    found = A.table_summary({"t": rows, "none": rows.filter("false")}).orderBy("table_name").collect()
+    assert [(r.table_name, r.row_count, r.column_count, r.null_values, r.duplicate_rows) for r in found] == [("none", 0, 3, 0, 0), ("t", 6, 3, 9, 2)]
