@@ -241,8 +241,7 @@ def sales(candidates: DataFrame, stocked_offers: DataFrame) -> DataFrame:
     """Candidates allocated to the first merchant with enough stock; contiguous order ids over the filled ones."""
     order = ["order_timestamp", "http_request_id"]
     filled = inventory.greedy_allocate(candidates, stocked_offers, order).filter("merchant_id IS NOT NULL")
-    chunk = windows.chunk_of("order_timestamp", windows.DAY)
-    return windows.sequence_ids(filled, "order_id", chunk, order)
+    return windows.sequence_ids(filled, "order_id", order)
 
 
 def flat_sales(views: DataFrame, offers: DataFrame) -> DataFrame:

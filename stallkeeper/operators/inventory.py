@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +36,7 @@ def greedy_allocate(requests: DataFrame, offers: DataFrame, order: list[str], ch
     does not fit, no later request of that quantity fits. Of each (sku, quantity) at most sum(stock) // quantity requests
     can be filled, and they are the first ones. All others are unfilled without looking at any state, so the sequential
     step sees a number of rows bounded by the stock, however many requests a sku has. That step streams sorted rows
-    through Arrow batches and keeps only the balances of the sku at hand.
+    through Arrow batches and keeps only the balances of the sku at hand, in a tree that finds the first merchant with enough.
 
     `requests` has sku, quantity (> 0) and the order columns, first of which is the time; `offers` has sku, merchant_id, stock.
     """
@@ -61,31 +62,59 @@ def greedy_allocate(requests: DataFrame, offers: DataFrame, order: list[str], ch
     return stream.mapInArrow(_fill_in_order(columns), schema).unionByName(hopeless)
 
 
+class FirstFit:
+    """Stocks of a sku's merchants below a tree of their maxima: the first one with enough is found in log2(merchants) steps."""
+
+    def __init__(self, stocks: list[int]):
+        self.leaves = 1 << max(0, len(stocks) - 1).bit_length()
+        self.most = array("q", bytes(16 * self.leaves))
+        self.most[self.leaves : self.leaves + len(stocks)] = array("q", stocks)
+        for i in range(self.leaves - 1, 0, -1):
+            self.most[i] = max(self.most[2 * i], self.most[2 * i + 1])
+
+    def take(self, need: int) -> int | None:
+        """Takes `need` (> 0) from the first stock that has it; its number, or None."""
+        most, at = self.most, 1
+        if most[1] < need:
+            return None
+        while at < self.leaves:
+            at *= 2
+            if most[at] < need:
+                at += 1
+        most[at] -= need
+        found = at - self.leaves
+        while at > 1:
+            at //= 2
+            top = max(most[2 * at], most[2 * at + 1])
+            if most[at] == top:
+                break
+            most[at] = top
+        return found
+
+
 def _fill_in_order(columns: list[str]):
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, names, left = None, [], []
+        current, names, stocks, fit = None, [], [], None
         for batch in batches:
-            skus, kinds = batch.column("sku").to_pylist(), batch.column("_kind").to_pylist()
-            merchants, stocks = batch.column("_merchant").to_pylist(), batch.column("_stock").to_pylist()
-            wanted = batch.column("quantity").to_pylist()
+            skus, kinds = batch.column("sku").to_pylist(), batch.column("_kind").to_numpy()
+            merchants, stock = batch.column("_merchant").to_pylist(), batch.column("_stock").fill_null(0).to_numpy()
+            wanted = batch.column("quantity").fill_null(0).to_numpy()
             result = [None] * len(skus)
             for i, sku in enumerate(skus):
                 if sku != current:
-                    current, names, left = sku, [], []
+                    current, names, stocks, fit = sku, [], [], None
                 if kinds[i] == 0:
                     names.append(merchants[i])
-                    left.append(stocks[i])
+                    stocks.append(int(stock[i]))
                     continue
-                need = wanted[i]
-                for j, have in enumerate(left):
-                    if have >= need:
-                        left[j] = have - need
-                        result[i] = names[j]
-                        break
+                fit = fit or FirstFit(stocks)
+                found = fit.take(int(wanted[i]))
+                if found is not None:
+                    result[i] = names[found]
             filled = pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in columns] + [pa.array(result, pa.string())], names=[*columns, "merchant_id"]
             )
-            yield filled.filter(pa.array([k == 1 for k in kinds]))
+            yield filled.filter(pa.array(kinds == 1))
 
     return fill
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from stallkeeper.functions.calendar import chunk_of
+from stallkeeper.session import stored
 
 DAY = 86400
 
@@ -63,10 +64,22 @@ def affinity_growth(sales: DataFrame, base: Column, order: list[str], ts: str =
     return counted.withColumn("affinity", base * F.pow(F.lit(1.1), F.col("earlier")))
 
 
-def sequence_ids(df: DataFrame, name: str, chunk: Column, order: list[str], first: int = 1) -> DataFrame:
-    """Contiguous ids in row order without ever sorting all rows in one task; only chunk totals are."""
-    numbered = running(df, [], chunk, order, {name: F.lit(1).cast("long")}, include_current=False)
-    return numbered.withColumn(name, F.col(name) + first)
+def sequence_ids(df: DataFrame, name: str, order: list[str], first: int = 1, parts: int | None = None) -> DataFrame:
+    """Contiguous ids in row order, in two passes: rows are dealt to `parts` ranges of the whole order, written with their
+    place in the range, and numbered from the counts of the ranges before.
+
+    Bounds come from a sample of the order columns, not from stretches of time, so a dense second is cut as finely as its rows
+    differ in any of them; only rows equal in all must share a range. Ids of such rows are in no particular order.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # In a written table the row's number is its range in the upper bits and its place there in the lower 33.
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = stored(dealt, "ordered").withColumn("_range", F.shiftright("_at", 33))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + first
+    return placed.join(F.broadcast(before), "_range").select(*df.columns, number.alias(name))  # one row a range
 
 
 def number_in_key(df: DataFrame, keys: list[str], name: str, order: str, slots: int = 64) -> DataFrame:

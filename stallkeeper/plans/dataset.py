@@ -44,7 +44,7 @@ def generate(
 
     sessioned = keep("session_views", W.sessionize(views.dropna(subset=["customer_id"])))
     starts = sessioned.groupBy("customer_id", "session_no").agg(F.min("timestamp").alias("start_time"))
-    sessions = W.sequence_ids(B.sessions(starts, profiles), "session_id", W.chunk_of("start_time", W.DAY), ["start_time", "customer_id"])
+    sessions = W.sequence_ids(B.sessions(starts, profiles), "session_id", ["start_time", "customer_id"])
     sessions = keep("browsing_sessions", sessions.withColumn("pages_viewed", c("pages_viewed").cast("int")))
 
     scored = behaviour.score_views(sessioned, profiles, catalog)

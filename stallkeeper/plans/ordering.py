@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from stallkeeper.functions.calendar import chunk_of
 from stallkeeper.operators import relational as R, windows as W
 from stallkeeper.plans.base import query
 
@@ -83,7 +82,7 @@ def wn07(m):
 @query("wn08_sequence_ids", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS view_id FROM events")
 def wn08(m):
     events = m.table("events").select("event_id", "ts")
-    return W.sequence_ids(events, "view_id", chunk_of("ts", 3600), ["ts", "event_id"]).select("event_id", "view_id")
+    return W.sequence_ids(events, "view_id", ["ts", "event_id"]).select("event_id", "view_id")
 
 
 @query("tk01_head_sample", f"SELECT order_id, line_no, merchant_id, sku, customer_id FROM line_sales ORDER BY {SALE_SQL} LIMIT 100")

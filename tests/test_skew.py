@@ -43,8 +43,22 @@ def test_sessions_equal_plain_window_for_any_chunk(spark):
 def test_sequence_ids_are_contiguous(spark):
     rng = random.Random(3)
     df = spark.createDataFrame([(i, T0 + timedelta(seconds=rng.randrange(9000))) for i in range(2000)], "id long, ts timestamp_ntz").repartition(7)
-    rows = sorted(W.sequence_ids(df, "n", W.chunk_of("ts", 600), ["ts", "id"]).collect(), key=lambda r: (r.ts, r.id))
+    rows = sorted(W.sequence_ids(df, "n", ["ts", "id"]).collect(), key=lambda r: (r.ts, r.id))
     assert [r.n for r in rows] == list(range(1, 2001))
+    assert W.sequence_ids(df.limit(0), "n", ["ts", "id"]).count() == 0
+
+
+def test_a_dense_second_is_numbered_by_several_tasks(spark):
+    """Nine rows in ten are at one instant; no range has much more than its share."""
+    ts = F.when(F.col("id") % 10 != 0, F.lit(T0)).otherwise(F.lit(T0) + F.make_dt_interval(hours=F.col("id").cast("int")))
+    df = spark.range(20_000).withColumn("ts", ts.cast("timestamp_ntz")).repartition(5)
+    out = W.sequence_ids(df, "n", ["ts", "id"], first=0, parts=8)
+    sizes = [r["count"] for r in out.groupBy(F.floor(F.col("n") * 0 + F.spark_partition_id())).count().collect()]
+    assert sum(sizes) == 20_000
+    assert [r.id for r in out.orderBy("n").select("id").collect()] == [r.id for r in df.orderBy("ts", "id").select("id").collect()]
+    assert out.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first()[:] == (0, 19_999, 20_000)
+    dealt = df.repartitionByRange(8, "ts", "id").groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in dealt.collect()) < 2 * 20_000 / 8
 
 
 def brute_allocate(requests, offers):
@@ -134,3 +148,25 @@ def test_sampling_shapes(spark):
         F.avg(H.beta(2, 6, "e", "id")).alias("b"), F.avg(H.poisson(F.lit(2.1), 20, H.u("f", "id"))).alias("p")).first()
     for got, want, width in zip(row, (0.5, 5.0, 3.0, 0.25, 2.1), (0.01, 0.05, 0.08, 0.01, 0.05)):
         assert abs(got - want) < width
+
+
+def test_allocation_among_a_thousand_merchants(spark):
+    rng = random.Random(11)
+    offers = [("S", f"M{i:04d}", rng.choice([0, 1, 2, 5, 9])) for i in range(1000)] + [("T", "M1", 3)]
+    requests = [(i, "S", rng.choice([1, 2, 3, 5, 8, 9, 10]), T0 + timedelta(seconds=i // 3)) for i in range(2500)] + [(9000 + i, "T", 1, T0) for i in range(5)]
+    asked = spark.createDataFrame(requests, "id long, sku string, quantity int, ts timestamp_ntz")
+    got = I.greedy_allocate(asked, spark.createDataFrame(offers, "sku string, merchant_id string, stock int"), ["ts", "id"])
+    assert {r.id: r.merchant_id for r in got.collect()} == brute_allocate(requests, offers)
+
+
+def test_first_fit_tree():
+    rng = random.Random(12)
+    for n in (0, 1, 2, 3, 7, 64, 100):
+        plain = [rng.randrange(20) for _ in range(n)]
+        tree = I.FirstFit(plain)
+        for _ in range(300):
+            need = rng.randrange(1, 22)
+            want = next((i for i, have in enumerate(plain) if have >= need), None)
+            assert tree.take(need) == want
+            if want is not None:
+                plain[want] -= need
