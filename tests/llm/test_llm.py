@@ -290,6 +290,22 @@ def test_top_k(spark):
     assert not topk.top_k(spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
 
 
+def test_topk_rows_of_one_id(spark):
+    """Every row but the query's own is a candidate: other vectors of one id, repeated rows, clashing columns."""
+    rows = [(0, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [9.0, 0.0]), (2, [1.0, 1.0]), (0, [2.0, 0.0]), (3, [9.0, 0.0]), (3, [9.0, 0.0]), (0, [1.0, 0.0]), (None, [99.0, 0.0]), (4, []), (0, [])]
+    table = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "vec_id long, embedding array<double>, row int, score int, n int").repartition(3)
+    out = topk.top_k(table, F.col("vec_id") == 0, k=4)
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out.collect())
+    usable = [(i, [int(256 * x) for x in v], k) for k, (i, v) in enumerate(rows) if i is not None]
+    want = []
+    for i, v, k in usable:
+        if i == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j, m) for j, w, m in usable if m != k and len(w) == len(v))
+            want += [(0, at + 1, j, -s) for at, (s, j, _) in enumerate(scored[:4])]
+    assert found == sorted(want)
+    assert topk.top_k(table.limit(0), F.col("vec_id") == 0).count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><script>var t="</p><article>";</script></head><body class="has-sidebar">
 <nav><p>Menu with a long text that must not win anything at all in here</p></nav><div class="cookie-notice">We use cookies</div>
 <main><div class="post-12 entry"><h1>A &amp; B</h1><p>First   line<br>goes <b>on.<p>Second &eacute; &lt;b&gt;.<!-- <p>no</p> --></p><ul><li>one<li>two</ul><div class="ad">Buy</div>
