@@ -176,15 +176,16 @@ def identify(docs: DataFrame, filters: Filters | None, coverage: str | None = No
     """
     added = ["lang_pred", "score"] + ([coverage] if coverage else [])
     rest = [c for c in docs.columns if c not in added]
-    lettered = docs.select(*rest, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    place = rest.index("text")
+    lettered = docs.select(*rest, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
     schema = docs.select(*rest).schema.add("lang_pred", "string").add("score", "double")
     schema = schema.add(coverage, "double") if coverage else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.num_columns - 2
-            for lo, hi, data, offsets in W.slices(batch.column(k)):
-                letters = np.array(batch.column(k + 1).slice(lo, hi - lo).to_pylist(), bool)
+            k = len(rest)
+            for lo, hi, data, offsets in W.slices(batch.column(place)):
+                letters = np.array(batch.column(k).slice(lo, hi - lo).to_pylist(), bool)
                 if filters is None:
                     names, score, part = ["und"] * (hi - lo), np.zeros(hi - lo), np.zeros(hi - lo)
                 else:

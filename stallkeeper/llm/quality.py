@@ -81,13 +81,16 @@ def with_stats(docs: DataFrame, keep_text: bool) -> DataFrame:
     for name in STATS:
         schema = schema.add(name, "double")
 
+    sent = rest if "text" in rest else [*rest, "text"]  # once, whether it is kept or not
+    place = sent.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in W.slices(batch.column(batch.num_columns - 1)):
+            for lo, hi, data, offsets in W.slices(batch.column(place)):
                 found = text_stats(data, offsets)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(len(rest))), *(pa.array(found[:, k]) for k in range(len(STATS)))], [*rest, *STATS])
 
-    return docs.select(*rest, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 @dataclass
