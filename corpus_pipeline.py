@@ -18,21 +18,31 @@ from stallkeeper.session import stored
 MIN_QUALITY = 0.5
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """The columns of `docs` under names that no operator uses, but for the text: it goes to the Python workers once."""
+    return docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else f"own_{i}") for i, c in enumerate(docs.columns)])
+
+
+def renamed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("text" if c == "text" else f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Scores every text by rules learned from all labelled documents; scores below MIN_QUALITY go.
 
     Rows are written with their statistics, which take most of the work, so that learning and scoring share them.
     """
-    rows = stored(quality.with_stats(docs.select(F.struct(*docs.columns).alias("row"), "text"), keep_text=False), "stats")
-    rules = quality.fit(rows.select("row.doc_id", *quality.STATS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rows.where(rules.score() >= MIN_QUALITY).select("row.*")
+    rows = stored(quality.with_stats(named(docs), keep_text=True), "stats")
+    ids = F.col(f"own_{docs.columns.index('doc_id')}").alias("doc_id")
+    rules = quality.fit(rows.select(ids, *quality.STATS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return renamed(rows.where(rules.score() >= MIN_QUALITY), docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns languages from the labelled documents among `docs`. Texts in no language go: those without a letter, and those of
     whose n-grams the best language has none, or less than half of what is typical of its labelled texts."""
-    found = langid.identify(docs.withColumn("row", F.struct(*docs.columns)).select("row", "text"), langid.learn(docs), coverage="coverage")
-    return found.where((F.col("lang_pred") != "und") & langid.covered(langid.coverage_bounds(docs), "coverage")).select("row.*")
+    found = langid.identify(named(docs), langid.learn(docs), coverage="coverage")
+    return renamed(found.where((F.col("lang_pred") != "und") & langid.covered(langid.coverage_bounds(docs), "coverage")), docs)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
