@@ -33,8 +33,20 @@ def point_lookup(requests: DataFrame, table: DataFrame, key: str, value: str) ->
     return requests.join(table.groupBy(key).agg(F.min(value).alias(value)), key, "left")
 
 
+def left_join(df: DataFrame, other: DataFrame, on: list[str], spread: int = 1024) -> DataFrame:
+    """Left join whose rows with a NULL key, which match nothing, are dealt over `spread` groups instead of one task.
+
+    Rows with keys join as usual (a hot key is split by adaptive execution); columns and rows are those of a plain left join.
+    """
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
+    spot = F.when(missing, F.pmod(F.monotonically_increasing_id(), F.lit(spread)) + 1).otherwise(F.lit(0).cast("long"))
+    # Always 0, but no constant: the optimizer would take a constant out of the keys, and with it the spread.
+    zero = F.least(F.lit(0), F.abs(F.hash(*on) % 2)).cast("long")
+    return df.withColumn("_spot", spot).join(other.withColumn("_spot", zero), [*on, "_spot"], "left").drop("_spot")
+
+
 def lookup_default(df: DataFrame, dim: DataFrame, on: list[str], value: str, default) -> DataFrame:
-    joined = df.join(dim, on, "left")
+    joined = left_join(df, dim, on)
     return joined.withColumn(value, F.coalesce(F.col(value), default if isinstance(default, Column) else F.lit(default)))
 
 

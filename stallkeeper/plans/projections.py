@@ -74,12 +74,8 @@ def pr08(m):
           JOIN products p ON v.sku = p.sku LEFT JOIN customers c ON v.customer_id = c.customer_id)
     LEFT JOIN gender_dim USING (gender, category) LEFT JOIN oos_dim USING (category) LEFT JOIN attr_dim USING (subcategory)""")
 def pr09(m):
-    base = (
-        m.views().select("http_request_id", "sku", "customer_id")
-        .join(m.products().select("sku", "category", "subcategory"), "sku")
-        .join(m.customers().select("customer_id", "gender"), "customer_id", "left")
-        .fillna({"gender": "?"})
-    )
+    seen = m.views().select("http_request_id", "sku", "customer_id").join(m.products().select("sku", "category", "subcategory"), "sku")
+    base = R.left_join(seen, m.customers().select("customer_id", "gender"), ["customer_id"]).fillna({"gender": "?"})
     spark = m.spark
     weighted = R.lookup_default(base, dims.gender_weights(spark), ["gender", "category"], "gender_weight", 1.0)
     rated = R.lookup_default(weighted, dims.oos_rates(spark), ["category"], "oos_rate", V.OOS_RATE_DEFAULT)

@@ -170,3 +170,24 @@ def test_first_fit_tree():
             assert tree.take(need) == want
             if want is not None:
                 plain[want] -= need
+
+
+def test_null_keys_of_a_left_join_are_spread(spark):
+    """Three rows in four have no key; with shuffled joins no task gets them all, and the rows are those of a plain join."""
+    left = spark.range(8000).select("id", F.when(F.col("id") % 4 == 0, F.col("id") % 50).alias("k"), F.lit("x").alias("j")).repartition(4)
+    right = spark.createDataFrame([(i, "x", i * 2) for i in range(40)] + [(None, "x", 9), (7, None, 9)], "k long, j string, v int")
+    plain = sorted(map(tuple, left.join(right, ["k", "j"], "left").select("id", "k", "j", "v").collect()))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        joined = R.left_join(left, right, ["k", "j"])
+        assert joined.columns == ["k", "j", "id", "v"]
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 2 * sorted(sizes)[len(sizes) // 2] and sum(sizes) == 8000
+        assert sorted(map(tuple, joined.select("id", "k", "j", "v").collect()), key=lambda r: r[0]) == sorted(plain, key=lambda r: r[0])
+        found = R.lookup_default(left, right, ["k", "j"], "v", -1)
+        assert found.where("k IS NULL AND v <> -1").count() == 0
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
