@@ -186,7 +186,7 @@ def price_mismatches(tables: Tables) -> DataFrame:
 def _dq39(tables: Tables) -> DataFrame:
     """Share of all sales at a price never seen; above one in twenty the rule fires."""
     flagged = R.price_in_history(tables["sales"], tables["views"])
-    share = flagged.agg((F.count_if(c("has_price") & ~c("price_seen")) / F.count("*")).alias("n"))
+    share = flagged.agg(A.rate(F.count_if(c("has_price") & ~c("price_seen")), F.count("*")).alias("n"))
     return _result(share, "DQ39", "sales", V.ISSUES["DQ39"], F.coalesce(c("n") > 0.05, F.lit(False)).cast("int"), measure=c("n"))
 
 
