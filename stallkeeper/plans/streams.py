@@ -7,9 +7,12 @@ from stallkeeper.operators import access
 from stallkeeper.plans.base import query
 from stallkeeper.plans.functions import CLASS
 from stallkeeper.plans.joins import LENIENT, VERDICT
+from stallkeeper.session import scratch, stored
 from stallkeeper.streaming import messages as M, run, state
 
 c = F.col
+#: Batches of an arriving table, files of a batch, the longest time in days from event to arrival, and the delay that covers it.
+STRETCHES, FILES, LATEST, WIDEST = 4, 2, 3, "4 days"
 
 
 def stream(m, name):
@@ -41,13 +44,28 @@ def st01(m):
     return run.drain(M.classified(message_stream(m)).select("message_id", "delivery_class"), "classified")
 
 
+def arriving(m, rows, name):
+    """A table as a stream of STRETCHES batches of several files: rows arrive up to LATEST days after their timestamp, so
+    order of arrival and order of events differ. Stretches are cut at quantiles of the arrival, one pass each way.
+    """
+    late = F.make_dt_interval(F.abs(F.xxhash64(*rows.columns)) % LATEST)
+    arrived = stored(rows.withColumn("arrival", c("timestamp") + late), f"{name}-rows")
+    clock = F.unix_micros(c("arrival").cast("timestamp"))
+    cuts = arrived.agg(F.percentile_approx(clock, [k / STRETCHES for k in range(1, STRETCHES)])).first()[0] or []
+    path, stretch = scratch(m.spark, name), sum((clock > cut).cast("int") for cut in cuts) if cuts else F.lit(0)
+    for k in range(len(cuts) + 1):
+        part = arrived.filter(stretch == k).drop("arrival")
+        part.repartition(FILES, *part.columns).write.mode("append").parquet(path)
+    return run.read_files(m.spark, path, rows.schema, "*.parquet", files_per_batch=FILES)
+
+
 def events_as_messages(m):
-    return stream(m, "events").select(c("event_id").alias("message_id"), c("ts").alias("timestamp"))
+    return arriving(m, m.table("events").select(c("event_id").alias("message_id"), c("ts").alias("timestamp")), "messages-in")
 
 
 @query("st02_periodic_counts", "SELECT CAST(time_bucket(INTERVAL 30 SECOND, ts) AS VARCHAR) AS window_start, count(*) AS n FROM events GROUP BY 1")
 def st02(m):
-    return run.drain_complete(M.periodic_counts(events_as_messages(m)), "counts")
+    return run.drain_closed(events_as_messages(m), "timestamp", lambda s: M.periodic_counts(s, delay=WIDEST), "counts")
 
 
 @query("st03_topic_acl_stream", VERDICT.format(bypass="", grant=LENIENT))
@@ -69,8 +87,8 @@ def st04(m):
     SELECT customer_id, CAST(min("timestamp") AS VARCHAR) AS start_time, CAST(max("timestamp") AS VARCHAR) AS end_time, count(*) AS pages_viewed
     FROM sessions_raw GROUP BY customer_id, session_no""")
 def st05(m):
-    views = stream(m, "events").filter("event_id % 5 <> 0").select(c("user_id").alias("customer_id"), c("ts").alias("timestamp"))
-    return run.drain_complete(M.sessions(views), "sessions")
+    views = arriving(m, m.table("events").filter("event_id % 5 <> 0").select(c("user_id").alias("customer_id"), c("ts").alias("timestamp")), "sessions-in")
+    return run.drain_closed(views, "timestamp", lambda s: M.sessions(s, delay=WIDEST), "sessions")
 
 
 ST06 = """WITH sold AS (SELECT m.merchant_id, m.sku, order_id, line_no, m.quantity, row_number() OVER (PARTITION BY m.merchant_id, m.sku
@@ -87,19 +105,32 @@ ST06 = """WITH sold AS (SELECT m.merchant_id, m.sku, order_id, line_no, m.quanti
 
 @query("st06_live_balance", ST06, recursive=True)
 def st06(m):
-    moves = m.sold_movements(stream(m, "lineitem")).withColumn("unit_price", c("unit_price").cast("double"))
     opening = m.offers().select("merchant_id", "sku", c("inventory").alias("initial"))
-    return run.drain(state.live_balance(moves.join(opening, ["merchant_id", "sku"])), "balances")
+    moves = arriving(m, m.sold_movements().drop("event_type", "reason"), "movements-in")
+    step = lambda s: state.live_balance(run.event_time(s, "timestamp", WIDEST).join(opening, ["merchant_id", "sku"], "left"))
+    return run.drain_closed(moves, "timestamp", step, "balances")
 
 
-@query("st07_reservation_timeout")
+@query("st07_reservation_timeout", """
+    WITH steps AS (SELECT cart_id, "timestamp" AS "at", event_type, lag(event_type) OVER w AS before_type, lag("timestamp") OVER w AS before_at,
+            lead("timestamp") OVER w AS after_at
+        FROM cart_events WHERE event_type <> 'removed_from_cart' WINDOW w AS (PARTITION BY cart_id ORDER BY "timestamp", event_id)),
+    changes AS (
+        SELECT cart_id, 'active' AS status, "at" FROM steps WHERE event_type = 'add_to_cart'
+        UNION ALL
+        SELECT cart_id, CASE event_type WHEN 'cart_abandoned' THEN 'abandoned' ELSE 'converted' END, "at" FROM steps
+        WHERE event_type <> 'add_to_cart' AND before_type = 'add_to_cart' AND "at" < before_at + INTERVAL 1 HOUR
+        UNION ALL
+        SELECT cart_id, 'expired', "at" + INTERVAL 1 HOUR FROM steps
+        WHERE event_type = 'add_to_cart' AND (after_at IS NULL OR after_at >= "at" + INTERVAL 1 HOUR))
+    SELECT cart_id, status, CAST("at" AS VARCHAR) AS "at" FROM changes""")
 def st07(m):
-    carts = run.event_time(m.cart_events(stream(m, "events")), "timestamp", "1 hour")
-    return run.drain(state.cart_status(carts.select("cart_id", "event_id", "event_type", "timestamp")), "carts")
+    carts = arriving(m, m.cart_events().select("cart_id", "event_id", "event_type", "timestamp"), "carts-in")
+    return run.drain_closed(carts, "timestamp", lambda s: state.cart_status(run.event_time(s, "timestamp", WIDEST)), "carts")
 
 
 @query("st08_sliding_counts", """
     SELECT CAST(time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * k) AS VARCHAR) AS window_start, count(*) AS n
     FROM events, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY 1""")
 def st08(m):
-    return run.drain_complete(M.sliding_counts(events_as_messages(m)), "sliding")
+    return run.drain_closed(events_as_messages(m), "timestamp", lambda s: M.sliding_counts(s, delay=WIDEST), "sliding")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stallkeeper.session import scratch
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A moment after all data; a row there closes every window, session and timer before it.
+END = datetime(2200, 1, 1)
 
 
 def read_files(spark: SparkSession, folder: str, schema: str, pattern: str, files_per_batch: int = 1000) -> DataFrame:
@@ -22,13 +24,14 @@ def event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
-def append_to(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Drain what is available into a Parquet table, each row exactly once."""
+def append_to(df: DataFrame, path: str, checkpoint: str) -> int:
+    """Drain what is available into a Parquet table, each row exactly once; returns how many rows came after the watermark."""
     query = (
         df.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
         .option("path", path).option("checkpointLocation", checkpoint).start()
     )
     query.awaitTermination()
+    return sum(operator["numRowsDroppedByWatermark"] for batch in query.recentProgress for operator in batch["stateOperators"])
 
 
 def drain(df: DataFrame, name: str) -> DataFrame:
@@ -38,16 +41,24 @@ def drain(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drain_complete(df: DataFrame, name: str) -> DataFrame:
-    """Complete-mode drain of an aggregate: every batch replaces the result table."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    replace = lambda batch, _: batch.write.mode("overwrite").parquet(path)
-    query = (
-        df.writeStream.outputMode("complete").foreachBatch(replace).trigger(availableNow=True)
-        .option("checkpointLocation", scratch(spark, f"{name}-progress")).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
+def drain_closed(source: DataFrame, column: str, step: Callable[[DataFrame], DataFrame], name: str, allow_late: bool = False) -> DataFrame:
+    """Append-mode drain of a step whose results wait for a watermark on `column`; then the stream is ended.
+
+    Results are written once, when the watermark passes them, and state is freed. The newest ones would wait for ever, so a
+    second run of the same query reads an end marker: a row at END whose other columns are NULL. The step sets the watermark
+    itself and must let the marker reach it: no filter on other columns, no inner join (Spark moves both below watermarks). Rows later than the watermark are counted; unless `allow_late`,
+    they raise an error, so that a result is whole.
+    """
+    spark, path, progress, ends = source.sparkSession, *(scratch(source.sparkSession, f"{name}{part}") for part in ("", "-progress", "-ends"))
+    marker = T.StructType([source.schema[column]])
+    spark.createDataFrame([], marker).write.parquet(ends)
+    marked = step(source.unionByName(spark.readStream.schema(marker).parquet(ends), allowMissingColumns=True))
+    late = append_to(marked, path, progress)
+    spark.createDataFrame([(END,)], marker).coalesce(1).write.mode("append").parquet(ends)
+    late += append_to(marked, path, progress)
+    if late and not allow_late:
+        raise RuntimeError(f"{name}: {late} rows came after the watermark; allow a longer delay")
+    return spark.read.schema(marked.schema).parquet(path)
 
 
 def drain_batches(df: DataFrame, step: Callable[[DataFrame], DataFrame], name: str, schema: str) -> DataFrame:

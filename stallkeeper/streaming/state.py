@@ -1,108 +1,126 @@
-"""Keyed state: live stock balances and cart reservations with a timeout.
+"""Keyed state in event time: live stock balances and cart reservations with a timeout.
 
-Both keep one small value per key. Rows of a key within one micro-batch are put in order first; the size of a micro-batch
-is bounded at the source. Balances travel with the rows in Arrow batches; carts need timers, so they use the state API
-that has them (RocksDB).
+Rows wait in the state of their key until the watermark has passed them and are then handled in the order of their event
+times. So results depend neither on the borders of the micro-batches nor on the order of arrival within the delay. Keys share
+groups by hash, since a call costs milliseconds however few rows it has: a group holds one small value for each of its keys
+and the rows of one delay, so `groups` should grow with the keys. The size of a micro-batch is bounded at the source. Rows later than the
+watermark are dropped by Spark and counted by `run.append_to`. `run.drain_closed` ends a stream, so that nothing waits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from stallkeeper.streaming.run import ROCKSDB
+#: Microseconds in a millisecond; watermarks and timers count the latter.
+MILLI = 1000
+HOLD_MS = 3_600_000
+CART_NAMES = {"add_to_cart": "active", "cart_abandoned": "abandoned", "ready_to_purchase": "converted"}
 
-STATUS_SCHEMA = "cart_id bigint, status string, at timestamp"
+GROUPS = 512
 
+MOVE = ["at", "order_id", "line_no", "unit_price", "quantity", "merchant_id", "sku", "initial"]
+MOVE_STATE = (
+    "units array<struct<merchant_id:string,sku:string,units:bigint>>, "
+    "waiting array<struct<at:bigint,order_id:bigint,line_no:int,unit_price:double,quantity:bigint,merchant_id:string,sku:string,initial:bigint>>"
+)
+MOVED = "merchant_id string, sku string, order_id bigint, line_no int, quantity int, accepted boolean, balance bigint"
+CART = ["at", "event_id", "event_type", "cart_id"]
+CART_STATE = "due array<struct<cart_id:bigint,due:bigint>>, waiting array<struct<at:bigint,event_id:bigint,event_type:string,cart_id:bigint>>"
+CART_STATUS = "cart_id bigint, status string, at bigint"
 
-def _move(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Stock of one (merchant, sku): an outflow larger than the balance is rejected.
 
-    A move arrives as one text whose order is the order of the moves and whose last field is the signed quantity.
-    """
-    moves, opening = [], None
+def _nulls_first(row: tuple) -> list[tuple]:
+    return [(value is not None, value if value is not None else 0) for value in row]
+
+
+def _plain(column: pd.Series) -> list:
+    return column.astype(object).where(column.notna(), None).tolist() if column.hasnans else column.tolist()
+
+
+def _released(waiting: Iterable, rows: Iterator[pd.DataFrame], columns: list[str], watermark: int) -> tuple[list, list]:
+    """Rows that the watermark has passed in order, and those that still wait."""
+    held = [tuple(row) for row in waiting]
     for part in rows:
-        moves += part["move"].tolist()
-        opening = part["initial"].iat[0]
-    units = state.get[0] if state.exists else int(opening)
-    accepted, balances = [], []
-    for move in sorted(moves):
-        quantity = int(move.rpartition("|")[2])
-        fits = units + quantity >= 0
-        units += quantity if fits else 0
-        accepted.append(fits)
-        balances.append(units)
-    state.update((units,))
-    yield pd.DataFrame({"merchant_id": key[0], "sku": key[1], "move": sorted(moves), "accepted": accepted, "balance": balances})
-
-
-class CartStatus(StatefulProcessor):
-    """Status of one cart: active, then abandoned or converted, or expired when nothing happens until the timeout."""
-
-    timeout_ms = 3_600_000
-    names = {"add_to_cart": "active", "cart_abandoned": "abandoned", "ready_to_purchase": "converted"}
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.active = handle.getValueState("active", "due bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["timestamp", "event_id"])
-        found = []
-        due = self.active.get()[0] if self.active.exists() else None
-        for kind, at in zip(batch["event_type"], batch["timestamp"]):
-            now = int(at.timestamp() * 1000)
-            if due is not None and now >= due:
-                found.append(("expired", pd.Timestamp(due, unit="ms")))
-                due = None
-            status = self.names.get(kind)
-            if status == "active":
-                due = now + self.timeout_ms
-                found.append((status, at))
-            elif status and due is not None:
-                due = None
-                found.append((status, at))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if due is None:
-            self.active.clear()
-        else:
-            self.active.update((due,))
-            self.handle.registerTimer(due)
-        yield _statuses(key[0], found)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = self.active.get()[0] if self.active.exists() else None
-        self.active.clear()
-        yield _statuses(key[0], [("expired", pd.Timestamp(due, unit="ms"))] if due is not None else [])
-
-    def close(self) -> None:
-        pass
-
-
-def _statuses(cart, found: list[tuple]) -> pd.DataFrame:
-    times = pd.to_datetime(pd.Series([at for _, at in found], dtype="datetime64[ns]"))
-    return pd.DataFrame({"cart_id": pd.Series([cart] * len(found), dtype="int64"), "status": pd.Series([s for s, _ in found], dtype="object"), "at": times})
-
-
-def live_balance(movements: DataFrame) -> DataFrame:
-    """Accepted or rejected movements with the balance after each; `initial` is the opening stock of the pair."""
-    move = F.expr("format_string('%s|%020d|%06d|%016.4f|%d', date_format(timestamp, 'yyyyMMddHHmmssSSSSSS'), order_id, line_no, unit_price, quantity)")
-    moved = movements.select("merchant_id", "sku", "initial", move.alias("move")).groupBy("merchant_id", "sku").applyInPandasWithState(
-        _move, "merchant_id string, sku string, move string, accepted boolean, balance bigint", "units bigint", "append", GroupStateTimeout.NoTimeout)
-    field = F.split("move", r"\|")
+        held += zip(*(_plain(part[name]) for name in columns), strict=True)
+    held.sort(key=_nulls_first)
+    cut = next((k for k, row in enumerate(held) if row[0] > watermark * MILLI), len(held))
+    return held[:cut], held[cut:]
+
+
+def _wait(state: GroupState, watermark: int, *moments: int | None) -> None:
+    """Wake the key up as soon as the watermark is past the earliest of the moments (microseconds)."""
+    known = [-(-at // MILLI) for at in moments if at is not None]
+    if known:
+        state.setTimeoutTimestamp(max(min(known), watermark, 1))
+
+
+def _move(_: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Stock of each (merchant, sku): an outflow larger than the balance is rejected."""
+    watermark = state.getCurrentWatermarkMs()
+    known, waiting = state.get if state.exists else ([], [])
+    units = {(merchant, sku): left for merchant, sku, left in known}
+    ready, waiting = _released(waiting, rows, MOVE, watermark)
+    out = []
+    for _, order_id, line_no, _, quantity, *pair, initial in ready:
+        left, change = units.get(tuple(pair), int(initial or 0)), int(quantity or 0)
+        fits = left + change >= 0
+        units[tuple(pair)] = left = left + change if fits else left
+        out.append((*pair, order_id, line_no, quantity, fits, left))
+    state.update(([(*pair, left) for pair, left in units.items()], waiting))
+    _wait(state, watermark, waiting[0][0] if waiting else None)
+    if out:
+        yield pd.DataFrame(out, columns=["merchant_id", "sku", "order_id", "line_no", "quantity", "accepted", "balance"])
+
+
+def _cart(_: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Status of each cart: active, then abandoned or converted, or expired when nothing happens until the timeout."""
+    watermark = state.getCurrentWatermarkMs()
+    known, waiting = state.get if state.exists else ([], [])
+    due, found = dict(tuple(pair) for pair in known), []
+    ready, waiting = _released(waiting, rows, CART, watermark)
+    for at, _, kind, cart in ready:
+        if cart in due and at >= due[cart]:
+            found.append((cart, "expired", due.pop(cart)))
+        status = CART_NAMES.get(kind)
+        if status == "active":
+            due[cart] = at + HOLD_MS * MILLI
+            found.append((cart, status, at))
+        elif status and due.pop(cart, None) is not None:
+            found.append((cart, status, at))
+    over = [cart for cart, end in due.items() if end <= watermark * MILLI]
+    found += [(cart, "expired", due.pop(cart)) for cart in over]
+    if due or waiting:
+        state.update((list(due.items()), waiting))
+        _wait(state, watermark, *due.values(), waiting[0][0] if waiting else None)
+    elif state.exists:
+        state.remove()
+    if found:
+        yield pd.DataFrame(found, columns=["cart_id", "status", "at"])
+
+
+def _group(groups: int, *keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("group")
+
+
+def live_balance(movements: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """Accepted or rejected movements with the balance after each, in the order of their timestamps (equal ones by order,
+    line, price and quantity). `initial` is the opening stock of the pair, equal in all its rows; NULL is 0, and so is a NULL
+    quantity. Needs an event-time watermark on `timestamp`. Rows without a timestamp are dropped by the watermark and counted.
+    """
+    at = F.unix_micros("timestamp").alias("at")
+    numbers = [F.col("unit_price").cast("double").alias("unit_price"), *(F.col(n).cast("long").alias(n) for n in ("quantity", "initial"))]
+    moves = movements.select("merchant_id", "sku", "timestamp", at, "order_id", "line_no", *numbers, _group(groups, "merchant_id", "sku"))
+    moved = moves.groupBy("group").applyInPandasWithState(_move, MOVED, MOVE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     level = F.when(F.col("balance") == 0, "critical").when(F.col("balance") <= 10, "warning")
-    return moved.select(
-        "merchant_id", "sku", field[1].cast("bigint").alias("order_id"), field[2].cast("int").alias("line_no"),
-        field[4].cast("int").alias("quantity"), "accepted", "balance", level.alias("alert_level"))
+    return moved.withColumn("alert_level", level)
 
 
-def cart_status(cart_events: DataFrame) -> DataFrame:
+def cart_status(cart_events: DataFrame, groups: int = GROUPS) -> DataFrame:
     """Status changes of carts; needs an event-time watermark on `timestamp`."""
-    cart_events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return cart_events.groupBy("cart_id").transformWithStateInPandas(
-        statefulProcessor=CartStatus(), outputStructType=STATUS_SCHEMA, outputMode="Append", timeMode="EventTime")
+    events = cart_events.select("cart_id", "timestamp", F.unix_micros("timestamp").alias("at"), "event_id", "event_type", _group(groups, "cart_id"))
+    changed = events.groupBy("group").applyInPandasWithState(_cart, CART_STATUS, CART_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return changed.select("cart_id", "status", F.timestamp_micros("at").alias("at"))

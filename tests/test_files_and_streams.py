@@ -3,6 +3,7 @@
 import glob
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from stallkeeper.operators import callbacks, quality as Q
@@ -76,21 +77,64 @@ def test_subscription_and_classes(spark, tmp_path):
     assert sorted((r.message_id, r.delivery_class) for r in got) == [(1, "UNEXPECTED"), (3, "REGULAR")]
 
 
-def test_live_balance_keeps_state_between_batches(spark, tmp_path):
-    schema = "merchant_id string, sku string, order_id long, line_no int, unit_price double, quantity int, timestamp timestamp_ntz, initial int"
-    row = lambda i, q: ("m", "s", i, 1, 1.0, q, T0 + timedelta(hours=i), 10)
-    source = feed(spark, tmp_path, "b", [[row(2, -6), row(1, -3)], [row(3, -5), row(4, 4)], [row(5, -5)]], schema)
-    got = sorted((r.order_id, r.accepted, r.balance, r.alert_level) for r in run.drain(state.live_balance(source), "balance").collect())
-    assert got == [(1, True, 7, "warning"), (2, True, 1, "warning"), (3, False, 1, "warning"), (4, True, 5, "warning"), (5, True, 0, "critical")]
+MOVES = "merchant_id string, sku string, order_id long, line_no int, unit_price double, quantity int, timestamp timestamp_ntz, initial int"
+
+
+def move(order_id, quantity, hour, sku="s", price=1.0):
+    return ("m", sku, order_id, 1, price, quantity, T0 + timedelta(hours=hour), 10)
+
+
+def balances(spark, tmp_path, name, batches, delay="6 hours", **options):
+    step = lambda s: state.live_balance(run.event_time(s, "timestamp", delay), groups=2)
+    got = run.drain_closed(feed(spark, tmp_path, name, batches, MOVES), "timestamp", step, name, **options)
+    return sorted((r.sku or "", r.order_id, r.accepted, r.balance, r.alert_level) for r in got.collect())
+
+
+def test_live_balance_follows_event_time_not_batches(spark, tmp_path):
+    rows = [move(2, -6, 2), move(1, -3, 1), move(4, 4, 4), move(3, -5, 3), move(5, -5, 5), move(7, -1, 2, "t"), move(6, -10, 1, "t"), move(8, -2, 1, None)]
+    want = sorted([("s", 1, True, 7, "warning"), ("s", 2, True, 1, "warning"), ("s", 3, False, 1, "warning"), ("s", 4, True, 5, "warning"),
+                   ("s", 5, True, 0, "critical"), ("t", 6, True, 0, "critical"), ("t", 7, False, 0, "critical"), ("", 8, True, 8, "warning")])
+    assert balances(spark, tmp_path, "one", [rows]) == want
+    assert balances(spark, tmp_path, "many", [rows[4:], rows[2:4], rows[1:2], rows[:1]]) == want
+
+
+def test_equal_moments_go_by_order_and_price_also_below_zero(spark, tmp_path):
+    assert [r[1:4] for r in balances(spark, tmp_path, "ties", [[move(1, -8, 1, price=2.0), move(1, -9, 1, price=-3.0)]])] == [(1, False, 1), (1, True, 1)]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    # A batch still uses the watermark of the one before, so a row is late two batches after the one that made it late.
+    batches = [[move(1, -1, 1)], [move(2, -1, 50)], [move(3, -1, 51)], [move(4, -1, 2)]]
+    assert [r[1] for r in balances(spark, tmp_path, "late", batches, allow_late=True)] == [1, 2, 3]
+    with pytest.raises(RuntimeError, match="1 rows came after the watermark"):
+        balances(spark, tmp_path, "late-again", batches)
+
+
+def test_windows_close_once_over_several_files(spark, tmp_path):
+    schema = "message_id long, timestamp timestamp_ntz"
+    batches = [[(1, T0), (2, T0 + timedelta(seconds=40))], [(3, T0 + timedelta(seconds=29))], [(4, T0 + timedelta(minutes=30))], [(5, T0 + timedelta(minutes=29))]]
+    source = feed(spark, tmp_path, "w", batches, schema)
+    got = run.drain_closed(source, "timestamp", lambda s: M.periodic_counts(s, delay="5 minutes"), "windows").collect()
+    offset = {int((r.window_start.replace(tzinfo=None) - T0).total_seconds()): r.n for r in got}
+    assert offset == {0: 2, 30: 1, 1740: 1, 1800: 1} and len(got) == 4
+
+
+def test_a_stream_without_rows_ends_empty(spark, tmp_path):
+    assert balances(spark, tmp_path, "none", [[]]) == []
 
 
 def test_cart_reservations_expire(spark, tmp_path):
     schema = "cart_id long, event_id long, event_type string, timestamp timestamp_ntz"
-    batches = [[(1, 1, "add_to_cart", T0), (2, 2, "add_to_cart", T0), (3, 3, "add_to_cart", T0)],
-               [(1, 4, "ready_to_purchase", T0 + timedelta(minutes=10)), (2, 5, "cart_abandoned", T0 + timedelta(minutes=20))], [(9, 6, "removed_from_cart", T0 + timedelta(days=1))]]
-    carts = run.event_time(feed(spark, tmp_path, "k", batches, schema), "timestamp", "1 minute")
-    got = {(r.cart_id, r.status) for r in run.drain(state.cart_status(carts), "carts").collect()}
-    assert got == {(1, "active"), (1, "converted"), (2, "active"), (2, "abandoned"), (3, "active"), (3, "expired")}
+    at = lambda minutes: T0 + timedelta(minutes=minutes)
+    rows = [(1, 1, "add_to_cart", T0), (2, 2, "add_to_cart", T0), (3, 3, "add_to_cart", T0), (1, 4, "ready_to_purchase", at(10)),
+            (2, 5, "cart_abandoned", at(20)), (4, 6, "add_to_cart", at(5)), (4, 7, "ready_to_purchase", at(65)), (5, 8, "cart_abandoned", at(1))]
+    want = sorted([(1, "active", 0), (1, "converted", 10), (2, "active", 0), (2, "abandoned", 20), (3, "active", 0), (3, "expired", 60), (4, "active", 5), (4, "expired", 65)])
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for name, batches in {"once": [rows], "parts": [rows[3:6], rows[6:], rows[:3]]}.items():
+        step = lambda s: state.cart_status(run.event_time(s, "timestamp", "2 hours"), groups=2)
+        got = run.drain_closed(feed(spark, tmp_path, name, batches, schema), "timestamp", step, name).collect()
+        assert sorted((r.cart_id, r.status, int((r.at.replace(tzinfo=None) - T0).total_seconds() // 60)) for r in got) == want
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
 
 
 def test_full_data_set(spark, tmp_path):
