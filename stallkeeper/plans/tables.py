@@ -41,9 +41,9 @@ def snk01(m):
 @query("snk02_table_append", "SELECT l_returnflag, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem GROUP BY 1")
 def snk02(m):
     path, lines = scratch(m.spark, "appended"), m.table("lineitem").select("l_orderkey", "l_returnflag", "l_linestatus")
-    for status in ("O", "F"):
-        files.append(lines.filter(c("l_linestatus") == status), path)
-    stored = m.spark.read.schema(lines.schema).parquet(path)
+    for status in ("O", "F", "O"):  # the repeated batch adds nothing
+        files.append(lines.filter(c("l_linestatus") == status), path, status)
+    stored = files.read_appended(m.spark, path, lines.schema)
     return stored.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
@@ -68,6 +68,37 @@ def sch01_documents(m):
     return files.schema_profile(m.table("documents").select(c("doc_id").cast("long").alias("doc id"), c("text").alias("full-text")))
 
 
+def _inferred_sql() -> str:
+    readable = {
+        "BIGINT": "regexp_full_match({0}, '[+-]?[0-9]{{1,18}}')", "DOUBLE": "TRY_CAST({0} AS DOUBLE) IS NOT NULL",
+        "DATETIME": "TRY_CAST({0} AS TIMESTAMP) IS NOT NULL", "BOOLEAN": "lower({0}) IN ('true', 'false')",
+    }
+    columns = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+    parts = []
+    for i, name in enumerate(columns, 1):
+        text = f"CAST({name} AS VARCHAR)"
+        whens = " ".join(f"WHEN bool_and({test.format(text)}) THEN '{kind}'" for kind, test in readable.items())
+        parts.append(f"SELECT {i} AS position, '{name}' AS name, count(*) - count({name}) AS null_count, max(length({text})) AS longest, CASE {whens} END AS kind FROM events")
+    return f"""SELECT position, name, name AS clean_name, null_count, CASE WHEN kind IS NULL THEN longest END AS max_length,
+        coalesce(kind, 'VARCHAR(' || greatest(longest * 2, 255) || ')') AS sql_type FROM ({" UNION ALL ".join(parts)})"""
+
+
+@query("sch01_inferred_profile", _inferred_sql())
+def sch01_inferred(m):
+    path = scratch(m.spark, "untyped")
+    files.write_csv(m.table("events"), path)
+    return files.schema_profile(files.read_csv_typed(m.spark, path))
+
+
+@query("sch03_inferred_load", 'SELECT event_id, CAST(ts AS VARCHAR) AS "ts", CASE WHEN event_type <> \'error\' THEN value END AS unit_value, event_type AS unit_value_2 FROM events')
+def sch03_inferred(m):
+    """No schema is declared; two names clean to the same one."""
+    spoiled = F.when(c("event_type") == "error", float("nan")).otherwise(c("value"))
+    path = scratch(m.spark, "untyped")
+    files.write_csv(m.table("events").select("event_id", "ts", spoiled.alias("unit value"), c("event_type").alias("unit-value")), path)
+    return files.clean_load(m.spark, path, None, scratch(m.spark, "loaded"))
+
+
 @query("sch02_normalize_nulls", "SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS value FROM events")
 def sch02(m):
     spoiled = m.table("events").select("event_id", F.when(c("event_type") == "error", float("nan")).otherwise(c("value")).alias("value"))

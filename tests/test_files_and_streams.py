@@ -42,12 +42,44 @@ def test_clean_load_and_profile(spark, tmp_path):
 
 def test_table_append_and_listing(spark, tmp_path):
     df = spark.range(5).toDF("id")
-    files.append(df, str(tmp_path / "t"))
-    files.append(df, str(tmp_path / "t"))
-    assert spark.read.schema("id long").parquet(str(tmp_path / "t")).count() == 10
-    (tmp_path / "Sales.csv").write_text("id\n1\n")
-    (tmp_path / "notes.txt").write_text("x")
-    assert [r.table_name for r in files.list_tables(spark, str(tmp_path), ".csv").collect()] == ["sales"]
+    for batch in ("a", "b", "a"):
+        files.append(df, str(tmp_path / "t"), batch)
+    assert files.read_appended(spark, str(tmp_path / "t"), "id long").count() == 10
+    files.append(df.limit(2), str(tmp_path / "t"), "b")
+    files.append(df.limit(0), str(tmp_path / "t"), "c")
+    assert files.read_appended(spark, str(tmp_path / "t"), "id long").count() == 7
+    with pytest.raises(ValueError, match="own"):
+        files.append(df.withColumn(files.BATCH, F.lit(1)), str(tmp_path / "t"), "d")
+    folder = tmp_path / "listed"
+    folder.mkdir()
+    (folder / "Sales.csv").write_text("id\n1\n")
+    (folder / "notes.txt").write_text("x")
+    assert [r.table_name for r in files.list_tables(spark, str(folder), ".csv").collect()] == ["sales"]
+
+
+def test_catalog_table_append_survives_a_repeat(spark, tmp_path):
+    df = spark.range(4).select("id", F.col("id").cast("string").alias("name"))
+    try:
+        for batch in ("day 1", "o'clock", "o'clock"):
+            files.append_table(df.select("name", "id") if batch == "o'clock" else df, "appended_rows", batch, str(tmp_path / "appended"))
+        assert spark.table("appended_rows").groupBy(files.BATCH).agg(F.sum("id")).orderBy(files.BATCH).collect() == [("day 1", 6), ("o'clock", 6)]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS appended_rows")
+
+
+def test_types_come_from_all_values(spark, tmp_path):
+    rows = [("1", "1", "2024-02-29", "true", "", "x", "2024-02-30"), ("-22", "2.5e3", "2024-01-01 10:11:12.5", "FALSE", None, "7", "2024-01-01"), (" 3 ", None, None, None, " ", "", None)]
+    texts = spark.createDataFrame(rows, "i string, d string, t string, b string, e string, s string, u string")
+    assert list(files.infer_types(texts).values()) == ["bigint", "double", "timestamp_ntz", "boolean", "string", "string", "string"]
+    got = files.typed(texts).collect()
+    assert [r.i for r in got] == [1, -22, 3] and got[1].d == 2500.0 and got[1].t == datetime(2024, 1, 1, 10, 11, 12, 500000) and got[2].b is None
+    assert set(files.infer_types(texts.limit(0)).values()) == {"string"}
+    files.write_csv(spark.range(3).select(F.col("id").alias("a b"), F.lit("z").alias("a.b"), (F.col("id") / 2).alias("A-B")), str(tmp_path / "u"))
+    assert dict(files.clean_load(spark, str(tmp_path / "u"), None, str(tmp_path / "v")).dtypes) == {"a_b": "bigint", "a_b_2": "string", "A_B_3": "double"}
+
+
+def test_clashing_names_are_numbered():
+    assert files.clean_names(["a-b", "a.b", "a_b_2", "A b", "größe"]) == ["a_b", "a_b_3", "a_b_2", "A_b_4", "größe"]
 
 
 def test_scratch_follows_the_session_setting(spark):
