@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
 
 from tokenizers import Tokenizer
 
-#: Pieces that a task remembers at most; then it starts anew.
-CACHE_PIECES = 1_000_000
+#: Bytes of pieces that a worker remembers at most, counting PIECE_BYTES beside the text and ids of each.
+CACHE_BYTES, PIECE_BYTES = 128 << 20, 160
 #: New pieces that are encoded in one text.
 TOGETHER = 200
 _UNSAFE = re.compile(r" (?:\s|$)")
@@ -33,7 +34,11 @@ class Encoder:
 
     def __init__(self, path: str, spaced: bool, width: int):
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaced, self.kind, self.known = spaced, _CODES[width], {}
+        self.spaced, self.kind, self.width = spaced, _CODES[width], width
+        # Pieces used since the last turn, and those of the turn before; frequent ones move over, the others are forgotten.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.size = 0
         vocabulary = self.tokenizer.get_vocab()
         self.border = {i for token, i in vocabulary.items() if (token.startswith("\u0120") if spaced else token.endswith("</w>"))}
 
@@ -48,7 +53,10 @@ class Encoder:
             return 1
         return 2 * (piece[:-1].isalpha() and piece[-1:] in (",", "."))
 
-    def _together(self, pieces: list[str]) -> list[list[int]]:
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.kind, ids).tobytes()
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that all have a known number of border ids."""
         [ids] = self._plain(["".join(pieces) if self.spaced else " ".join(pieces)])
         border = self.border
@@ -60,25 +68,35 @@ class Encoder:
             last = list(accumulate(map(self._words, pieces)))
             good = last[-1] == len(ends) and ends[-1] == len(ids)
             cuts = [0, *(ends[k - 1] for k in last[:-1])] if good else []
-        return [ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True)] if good else self._plain(pieces)
+        if not good:
+            return list(map(self._bytes, self._plain(pieces)))
+        raw, width = self._bytes(ids), self.width
+        return [raw[width * a : width * b] for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        known, kind = self.known, self.kind
+    def _learn(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
         plain = [p for p in pieces if self._words(p)]
         other = [p for p in pieces if not self._words(p)]
         for lo in range(0, len(plain), TOGETHER):
             part = plain[lo : lo + TOGETHER]
-            known.update((p, array(kind, ids).tobytes()) for p, ids in zip(part, self._together(part), strict=True))
-        known.update((p, array(kind, ids).tobytes()) for p, ids in zip(other, self._plain(other), strict=True))
+            yield from zip(part, self._together(part), strict=True)
+        yield from zip(other, map(self._bytes, self._plain(other)), strict=True)
+
+    def _remember(self, pieces: set[str]) -> None:
+        """All of the pieces become known."""
+        if self.size > CACHE_BYTES // 2:
+            self.known, self.before, self.size = {}, self.known, 0
+        known, before = self.known, self.before
+        pieces = pieces.difference(known)
+        for piece in pieces.intersection(before):
+            known[piece] = before.pop(piece)
+        known.update(self._learn(sorted(pieces.difference(known))))
+        self.size += sum(PIECE_BYTES + len(p) + len(known[p]) for p in pieces)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, joined as little-endian integers."""
         split = (lambda t: t.replace(" ", "\0 ").split("\0")) if self.spaced else (lambda t: t.split(" "))
         cut = [None if "\0" in text or _UNSAFE.search(text) else split(text) for text in texts]
-        known = self.known
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        self._learn(sorted({p for pieces in cut if pieces for p in set(pieces).difference(known)}))
+        self._remember(set().union(*filter(None, cut)))
         whole = iter(self._plain([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        get = known.__getitem__
-        return [array(self.kind, next(whole)).tobytes() if pieces is None else b"".join(map(get, pieces)) for pieces in cut]
+        get = self.known.__getitem__
+        return [self._bytes(next(whole)) if pieces is None else b"".join(map(get, pieces)) for pieces in cut]

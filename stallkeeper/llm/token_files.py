@@ -140,7 +140,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in chain.from_iterable(batch.slice(k, 1).to_pylist() for k in range(batch.num_rows)):
                 doc_ids, ends, ids = read_block(row)
-                stops = ends.decode()
+                stops = np.array([ends.select(i) for i in range(ends.n)], np.int64)
                 starts = np.concatenate([[0], stops[:-1]])
                 width = row["width"]
                 yield pa.RecordBatch.from_arrays(

@@ -400,3 +400,17 @@ def test_language_stage_takes_out_texts_in_no_language(spark, monkeypatch):
         assert kept.columns == docs.columns
         assert not kept.where("doc_id < 0").count()
         assert kept.count() >= 0.99 * known.count()
+
+
+def test_pieces_are_forgotten_by_bytes_without_changing_ids(monkeypatch):
+    from stallkeeper.llm import encode
+
+    monkeypatch.setattr(encode, "CACHE_BYTES", 20_000)
+    texts = [" ".join(f"word{k * j % 97} Term{k}, x" for k in range(60)) + " the end" for j in range(40)] + ["", "  two  blanks ", "a"]
+    for name, spaced, width in (("byte_bpe_50k.json", True, 2), ("word_bpe_49k.json", False, 4)):
+        made = encode.Encoder(public_tokenizers.path(name), spaced, width)
+        plain = [np.array(e.ids, f"<u{width}").tobytes() for e in made.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [made.encode([text])[0] for text in texts] == plain
+        assert made.before and made.size <= 20_000
+        held = sum(encode.PIECE_BYTES + len(p) + len(x) for p, x in [*made.known.items(), *made.before.items()])
+        assert held <= 30_000
