@@ -95,3 +95,24 @@ def test_facts_are_hashed_and_merged(spark):
     assert (rules["DQ11"].violations, rules["DQ11"].example) == (3, "SKU000007")
     assert (rules["DQ09"].violations, rules["DQ09"].example) == (2, "SKU000000")
     assert (row.summary[0].row_count, row.summary[0].duplicate_rows) == (3002, 2) and rules["DQ45"].measure == 2000
+
+
+def test_scored_queries_after_free_purchases(spark, tmp_path):
+    """Whole queries: customers whose purchases were all free, before views at a price and for nothing."""
+    at = "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, event_id)"
+    rows = [(1, 1, "purchase", 0.0), (2, 1, "purchase", 0.0), (3, 1, "view", 8.0), (4, 1, "view", 0.0), (6, 2, "purchase", 4.0), (7, 2, "view", 8.0), (8, 3, "view", 8.0), (9, 1, "error", 8.0)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double").withColumns({"ts": F.expr(at), "props": F.lit('{"k": 1}')})
+    tables = {
+        "events": events, "nation": spark.sql("SELECT 0 AS n_nationkey, 'n' AS n_name, 0 AS n_regionkey"),
+        "customer": spark.sql("SELECT id AS c_custkey, 'c' AS c_name, 0 AS c_nationkey, 0D AS c_acctbal, 's' AS c_mktsegment FROM range(1, 4)"),
+        "part": spark.sql("SELECT 1L AS p_partkey, 'p' AS p_name, 'b' AS p_brand, 't' AS p_type, 1 AS p_size, 5D AS p_retailprice"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    score = lambda name: {r[0]: r[1] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    add, left, factor, sold = map(score, ("fn33_add_to_cart_probability", "fn34_abandonment_probability", "fn35_price_factor", "fn36_conversion_probability"))
+    assert (add[3], left[3], factor[3], sold[3]) == (0.01, 0.85, 0.0, 0.001)  # infinitely dear beside free ones
+    assert (add[4], left[4], sold[4]) == (0.4, 0.85, 0.15) and math.isnan(factor[4])
+    assert add[9] is None and left[9] is None and 0 < factor[7] < 1
+    for name in ("tb10_build_cart_events", "tb11_candidate_sales"):
+        QUERIES[name](spark, str(tmp_path)).collect()
