@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -14,6 +15,7 @@ from stallkeeper.functions.calendar import chunk_of
 from stallkeeper.functions.hashing import choice, gate, int_inclusive, u
 from stallkeeper.operators import windows
 from stallkeeper.operators.relational import stock_status
+from stallkeeper.session import stored_tight
 
 PAIR = ["merchant_id", "sku"]
 
@@ -29,29 +31,56 @@ def stock_checks(requests: DataFrame, stock: DataFrame, reserved: DataFrame | No
     return filled.withColumns(stock_status(F.col("stock"), F.col("reserved"), F.col("requested_qty"))).drop("stock", "reserved")
 
 
-def greedy_allocate(requests: DataFrame, offers: DataFrame, order: list[str], chunk_seconds: int = windows.DAY) -> DataFrame:
+#: Requests are counted by hash of the sku into so many buckets; a bucket above so many rows may hold a hot sku.
+BUCKETS, HOT_ROWS = 1 << 16, 200_000
+#: About so many requests are on their way through a shuffle at once, unless that made more than so many slices.
+SLICE_ROWS, MOST_SLICES = 40_000_000, 8
+
+
+def greedy_allocate(
+    requests: DataFrame, offers: DataFrame, order: list[str], chunk_seconds: int = windows.DAY,
+    hot_rows: int = HOT_ROWS, slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
     """Give each request, in order, to the first merchant (by id) of its sku with enough stock, or to none.
 
-    A request that does not fit is skipped and a later smaller one may still fit. Stock only falls, so once a quantity
-    does not fit, no later request of that quantity fits. Of each (sku, quantity) at most sum(stock) // quantity requests
-    can be filled, and they are the first ones. All others are unfilled without looking at any state, so the sequential
-    step sees a number of rows bounded by the stock, however many requests a sku has. That step streams sorted rows
+    A request that does not fit is skipped and a later smaller one may still fit. The sequential step streams sorted rows
     through Arrow batches and keeps only the balances of the sku at hand, in a tree that finds the first merchant with enough.
 
-    `requests` has sku, quantity (> 0) and the order columns, first of which is the time; `offers` has sku, merchant_id, stock.
+    Stock only falls, so once a quantity does not fit, no later request of that quantity fits. Of each (sku, quantity) at most
+    sum(stock) // quantity requests can be filled, and they are the first ones. Where a sku may have more than `hot_rows`
+    requests (counted by hash), all others are unfilled without looking at any state, so the rows that the sequential step sees
+    of a sku are bounded by `hot_rows` or by its stock, however many requests it has. The others go there directly: ranking them
+    would shuffle all rows three times more.
+
+    Each slice of the skus is allocated and written before the next, so that the disk holds the shuffle of one slice only.
+    `requests` is read twice, and once more a slice. It has sku, quantity (> 0) and the order columns, first of which is the
+    time; `offers` has sku, merchant_id, stock.
     """
+    bucket = F.pmod(F.xxhash64("sku"), F.lit(BUCKETS))
+    sizes = requests.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("quantity").alias("least")).collect()
+    ranked = bucket.isin([r.bucket for r in sizes if r.n > hot_rows or (r.least is not None and r.least <= 0)])
+    slices = min(MOST_SLICES, 1 + sum(r.n for r in sizes) // slice_rows)
+    if slices == 1:
+        return _allocate(requests, offers, order, chunk_seconds, ranked)
+    of = lambda df, k: df.filter(bucket % slices == k)
+    parts = [_allocate(of(requests, k), of(offers, k), order, chunk_seconds, ranked) for k in range(slices)]
+    return reduce(DataFrame.unionByName, [stored_tight(part, "allocated") for part in parts])
+
+
+def _allocate(requests: DataFrame, offers: DataFrame, order: list[str], chunk_seconds: int, ranked: Column) -> DataFrame:
+    """Allocation in one shuffle by sku; rows where `ranked` holds are numbered by (sku, quantity) first."""
     columns = requests.columns
     # At a hot sku requests of one quantity are numbered chunk by chunk.
     numbered = windows.running(
-        requests, ["sku", "quantity"], chunk_of(order[0], chunk_seconds), order, {"_rank": F.lit(1).cast("long")}
+        requests.filter(ranked), ["sku", "quantity"], chunk_of(order[0], chunk_seconds), order, {"_rank": F.lit(1).cast("long")}
     )
-    supply = offers.groupBy("sku").agg(F.sum("stock").alias("_total"), F.max("stock").alias("_most"))
+    supply = offers.filter(ranked).groupBy("sku").agg(F.sum("stock").alias("_total"), F.max("stock").alias("_most"))
     can = (F.col("quantity") <= F.col("_most")) & (F.col("_rank") * F.col("quantity") <= F.col("_total"))
-    ranked = numbered.join(supply, "sku", "left").withColumn("_can", F.coalesce(can, F.lit(False)))
-    hopeless = ranked.filter(~F.col("_can")).select(*columns, F.lit(None).cast("string").alias("merchant_id"))
+    judged = numbered.join(supply, "sku", "left").withColumn("_can", F.coalesce(can, F.lit(False)))
+    hopeless = judged.filter(~F.col("_can")).select(*columns, F.lit(None).cast("string").alias("merchant_id"))
 
     slots = {"_kind": F.lit(1), "_merchant": F.lit(None).cast("string"), "_stock": F.lit(None).cast("long")}
-    asking = ranked.filter("_can").select(*columns, *[c.alias(n) for n, c in slots.items()])
+    asking = requests.filter(~ranked).unionByName(judged.filter("_can").select(*columns)).select(*columns, *[c.alias(n) for n, c in slots.items()])
     blank = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in requests.schema.fields if f.name != "sku"}
     supplying = offers.select(
         *["sku" if c == "sku" else blank[c] for c in columns],
@@ -98,7 +127,7 @@ def _fill_in_order(columns: list[str]):
         for batch in batches:
             skus, kinds = batch.column("sku").to_pylist(), batch.column("_kind").to_numpy()
             merchants, stock = batch.column("_merchant").to_pylist(), batch.column("_stock").fill_null(0).to_numpy()
-            wanted = batch.column("quantity").fill_null(0).to_numpy()
+            wanted = batch.column("quantity").to_pylist()
             result = [None] * len(skus)
             for i, sku in enumerate(skus):
                 if sku != current:
@@ -106,11 +135,11 @@ def _fill_in_order(columns: list[str]):
                 if kinds[i] == 0:
                     names.append(merchants[i])
                     stocks.append(int(stock[i]))
-                    continue
-                fit = fit or FirstFit(stocks)
-                found = fit.take(int(wanted[i]))
-                if found is not None:
-                    result[i] = names[found]
+                elif sku is not None and wanted[i] is not None:  # without a sku or a quantity nothing fits
+                    fit = fit or FirstFit(stocks)
+                    found = fit.take(int(wanted[i]))
+                    if found is not None:
+                        result[i] = names[found]
             filled = pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in columns] + [pa.array(result, pa.string())], names=[*columns, "merchant_id"]
             )

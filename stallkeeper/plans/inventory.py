@@ -7,7 +7,7 @@ from stallkeeper.plans import duck as D
 from stallkeeper.plans.aggregates import VELOCITY
 from stallkeeper.plans.base import query
 from stallkeeper.plans.ordering import SALE_ORDER
-from stallkeeper.session import scratch, stored
+from stallkeeper.session import scratch, stored, stored_tight
 
 c = F.col
 DAY = "2001-12-31"
@@ -59,7 +59,7 @@ def iv01(m):
     {greedy_sql('requests', 'shop', REQUEST_ORDER, ['order_id', 'line_no', 'merchant', 'quantity', 'unit_price', 'order_timestamp'])}
     SELECT order_id, line_no, merchant, sku, quantity, unit_price, merchant_id FROM allocated""", REQUESTS, recursive=True)
 def iv02(m):
-    return I.greedy_allocate(stored(requests(m), "requests"), shop(m), REQUEST_ORDER, 30 * 86400).drop("order_timestamp")
+    return I.greedy_allocate(stored_tight(requests(m), "requests"), shop(m), REQUEST_ORDER, 30 * 86400).drop("order_timestamp")
 
 
 @query("iv03_fifo_allocate", f"""
