@@ -1,10 +1,13 @@
-"""Allocation on little disk, with the results of brute force."""
+"""Allocation and live balances on little disk and memory, with the results of brute force."""
 
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+
 from stallkeeper.operators import inventory as I
 from stallkeeper.session import stored, stored_tight
+from stallkeeper.streaming import run, state
 
 from test_skew import brute_allocate, key
 
@@ -48,3 +51,45 @@ def test_tight_tables_leave_no_shuffles(spark):
         assert bool(shuffles() - before) is kept
         assert table.count() == 4000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_packed_balances_come_back_and_are_small():
+    rows = [("m", None, 1), (None, "s", 2), (None, None, 0), ("", "é", -3), ("日本", "", None)]
+    for part in (rows, rows[2:3] * 2, []):
+        table = pa.Table.from_pylist([dict(zip(state.UNITS.names, r)) for r in part], state.UNITS)
+        assert state._unpacked(state._packed(table), state.UNITS).equals(table)
+        assert state._unpacked(state._packed(table.slice(1)), state.UNITS).equals(table.slice(1))
+    rng = random.Random(5)
+    many = pa.table([[f"MER{rng.randrange(10**6):06d}" for _ in range(9000)], [f"SKU{rng.randrange(10**7):07d}" for _ in range(9000)], list(range(9000))], state.UNITS)
+    assert len(state._packed(many)) < 14 * 9000
+
+
+def test_balances_with_opening_stock_looked_up_and_many_pairs_a_group(spark, tmp_path):
+    rng = random.Random(8)
+    moves = [(f"m{rng.randrange(3)}", rng.choice(["a", "b", "c", "z"]), i, 1, 1.0, rng.choice([-9, -5, -2, 4]), T0 + timedelta(hours=rng.randrange(300))) for i in range(400)]
+    moves += [(None, "a", 900, 1, 1.0, -1, T0), ("m0", None, 901, 1, 1.0, 2, T0)]
+    stock = {(f"m{j}", s): 10 + j for j in range(3) for s in "abc"}
+    want, left = {}, dict(stock)
+    for merchant, sku, order, _, _, quantity, at in sorted(moves, key=lambda r: (r[6], r[2])):
+        have = left.get((merchant, sku), 0)
+        left[merchant, sku] = have + quantity if have + quantity >= 0 else have
+        want[order] = (have + quantity >= 0, left[merchant, sku])
+    schema = "merchant_id string, sku string, order_id long, line_no int, unit_price double, quantity int, timestamp timestamp_ntz"
+    folder = str(tmp_path / "moves")
+    for half in (moves[:200], moves[200:]):
+        spark.createDataFrame(half, schema).coalesce(1).write.mode("append").parquet(folder)
+    pairs = state.by_group(spark.createDataFrame([(*pair, n) for pair, n in stock.items()], "merchant_id string, sku string, initial int"), 3).persist()
+    pairs.count()
+
+    step = lambda s: state.live_balance(run.event_time(s, "timestamp", "14 days"), 3, pairs)
+    source = run.read_files(spark, folder, schema, "*.parquet", files_per_batch=1)
+    try:
+        got = run.drain_closed(source, "timestamp", step, "looked-up", on_disk=True).collect()
+    finally:
+        pairs.unpersist()
+    assert len(got) == len(want) and {r.order_id: (r.accepted, r.balance) for r in got} == want
+    assert spark.conf.get("spark.sql.streaming.maxBatchesToRetainInMemory") == "2"
+
+
+def test_groups_grow_with_the_pairs():
+    assert state.groups_for(10) == state.GROUPS and state.groups_for(10**8) * state.GROUP_KEYS >= 10**8
