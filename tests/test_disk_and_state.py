@@ -93,3 +93,15 @@ def test_balances_with_opening_stock_looked_up_and_many_pairs_a_group(spark, tmp
 
 def test_groups_grow_with_the_pairs():
     assert state.groups_for(10) == state.GROUPS and state.groups_for(10**8) * state.GROUP_KEYS >= 10**8
+
+
+def test_a_null_spoils_no_other_row_of_its_batch(spark, tmp_path):
+    """Before, one missing line number made pandas read the column as doubles, and those came back from the state as NULL."""
+    schema = "merchant_id string, sku string, order_id long, line_no int, unit_price double, quantity int, timestamp timestamp_ntz, initial int"
+    moves = [("m", "s", i, None if i == 3 else i, 1.0, None if i == 4 else -2, T0 + timedelta(hours=i), 50) for i in range(8)]
+    spark.createDataFrame(moves, schema).coalesce(1).write.parquet(str(tmp_path / "moves"))
+    source = run.read_files(spark, str(tmp_path / "moves"), schema, "*.parquet")
+    step = lambda s: state.live_balance(run.event_time(s, "timestamp", "1 hour"), groups=1)
+    got = sorted(run.drain_closed(source, "timestamp", step, "nulls").collect(), key=lambda r: r.order_id)
+    assert [(r.line_no, r.quantity) for r in got] == [(m[3], m[5]) for m in moves]
+    assert [r.balance for r in got] == [48, 46, 44, 42, 42, 40, 38, 36]
